@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source study has no stream model (no readStream, watermark or state),
+so nothing is offered here: every operator in this package is a batch
+DataFrame plan. A streaming caller can apply any of them per micro-batch
+inside ``foreachBatch``, since each takes and returns plain DataFrames.
+"""
