@@ -43,16 +43,15 @@ def hot_key_table(left: DataFrame, right: DataFrame, keys: list[str],
     nb = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("nb"))
     st = (na.join(nb, keys)
             .withColumn("pairs", F.col("na") * F.col("nb"))
-            .where(F.col("pairs") > pairs_per_task)
-            .orderBy(F.desc("pairs"))
-            .limit(max_hot))
+            .where(F.col("pairs") > pairs_per_task))
     s = F.ceil(F.col("pairs") / F.lit(pairs_per_task))
     # Split so that copies (na*sb + nb*sa) are smallest for sa*sb ~= s.
     sa = F.least(F.greatest(F.ceil(F.sqrt(s * F.col("na") / F.col("nb"))), F.lit(1)),
                  F.least(s, F.col("na")))
     st = st.withColumn("sa", sa.cast("int"))
     sb = F.least(F.greatest(F.ceil(s / F.col("sa")), F.lit(1)), F.col("nb"))
-    return st.withColumn("sb", sb.cast("int")).select(*keys, "sa", "sb")
+    st = st.withColumn("sb", sb.cast("int"))
+    return st.orderBy(F.desc("pairs")).limit(max_hot).select(*keys, "sa", "sb")
 
 
 def contract(left: DataFrame, right: DataFrame, group: list[str], hot_split: bool = True,

@@ -34,21 +34,29 @@ def shape_of(cells: DataFrame) -> tuple[int, int]:
     return int(r["nrows"] or 0), int(r["ncols"] or 0)
 
 
+def _dense(entries: str, n, vtype: str) -> F.Column:
+    """Dense array of length ``n`` from array<struct<p, v>> with distinct positions.
+
+    Missing positions get an explicit zero (hash-set difference, O(n)); one
+    natural-order sort by position then gives the values in order. All JVM.
+    """
+    missing = F.array_except(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1),
+                             F.transform(entries, lambda x: x["p"].cast("bigint")))
+    zeros = F.transform(missing, lambda p: F.struct(p.alias("p"), F.lit(0).cast(vtype).alias("v")))
+    full = F.transform(entries, lambda x: F.struct(x["p"].cast("bigint").alias("p"), x["v"].alias("v")))
+    return F.transform(F.sort_array(F.concat(full, zeros)), lambda x: x["v"])
+
+
 def cells_to_rows(cells: DataFrame, ncols: int | None = None) -> DataFrame:
     """CELLS -> ROWS.
 
     With ``ncols`` the row is dense (absent cells are 0); without it the row
     holds the present values in column order (right for dense input).
     """
-    g = cells.groupBy("i").agg(F.collect_list(F.struct(F.col("j"), F.col("v"))).alias("e"))
+    g = cells.groupBy("i").agg(F.collect_list(F.struct(F.col("j").alias("p"), F.col("v"))).alias("e"))
     if ncols is None:
-        return g.select("i", F.transform(F.array_sort("e"), lambda x: x["v"]).alias("row"))
-    vtype = dict(cells.dtypes)["v"]
-    m = F.map_from_entries("e")
-    zero = F.lit(0).cast(vtype)
-    row = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(ncols - 1).cast("bigint")),
-                      lambda p: F.coalesce(F.element_at(m, p), zero))
-    return g.select("i", row.alias("row"))
+        return g.select("i", F.transform(F.sort_array("e"), lambda x: x["v"]).alias("row"))
+    return g.select("i", _dense("e", F.lit(ncols), dict(cells.dtypes)["v"]).alias("row"))
 
 
 def cells_to_blocks(cells: DataFrame, b: int, shape: tuple[int, int], pad: bool = False) -> DataFrame:
@@ -66,16 +74,13 @@ def cells_to_blocks(cells: DataFrame, b: int, shape: tuple[int, int], pad: bool
     else:
         nr = F.least(F.lit(b), F.lit(nrows) - bi * b).cast("int")
         nc = F.least(F.lit(b), F.lit(ncols) - bj * b).cast("int")
-    keyed = cells.select(bi.alias("bi"), bj.alias("bj"), nr.alias("nr"), nc.alias("nc"),
+    keyed = cells.select(bi.alias("bi"), bj.alias("bj"), nr.cast("int").alias("nr"),
+                         nc.cast("int").alias("nc"),
                          ((F.col("i") - bi * b) * nc + (F.col("j") - bj * b)).cast("int").alias("p"),
                          "v")
-    g = keyed.groupBy("bi", "bj", "nr", "nc").agg(
-        F.map_from_entries(F.collect_list(F.struct("p", "v"))).alias("m"))
-    zero = F.lit(0).cast(vtype)
-    blk = F.transform(F.sequence(F.lit(0), F.col("nr") * F.col("nc") - 1),
-                      lambda p: F.coalesce(F.element_at(F.col("m"), p), zero))
-    return g.select("bi", "bj", F.col("nr").cast("int").alias("nr"),
-                    F.col("nc").cast("int").alias("nc"), blk.alias("blk"))
+    g = keyed.groupBy("bi", "bj", "nr", "nc").agg(F.collect_list(F.struct("p", "v")).alias("e"))
+    blk = _dense("e", F.col("nr") * F.col("nc"), vtype)
+    return g.select("bi", "bj", "nr", "nc", blk.alias("blk"))
 
 
 def blocks_to_cells(blocks: DataFrame, b: int, keep_zeros: bool = False,

@@ -23,7 +23,7 @@ def write_rows(cells: DataFrame, path: str, ncols: int | None = None, mode: str
     extra = partition_by or []
     if extra:
         rows = (cells.groupBy(*extra, "i").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row")))
+            F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row")))
     else:
         rows = cells_to_rows(cells, ncols)
     w = rows.repartitionByRange("i").sortWithinPartitions("i").write.mode(mode)
