@@ -70,7 +70,7 @@ def _panel(group: list[str]):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = group + ["bi", "bj", "nr", "nc", "blk"]
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return pd.DataFrame({c: pd.Series([], dtype=object if c == "blk" else "int64") for c in cols})
         gvals = [a[c].iloc[0] for c in group]
         by_k: dict = {}
         for bk, bj, nr, nc, blk in zip(b["bk"], b["bj"], b["nr"], b["nc"], b["blk"]):
@@ -97,7 +97,9 @@ def _panel(group: list[str]):
             rows["nr"].append(p.shape[0])
             rows["nc"].append(p.shape[1])
             rows["blk"].append(p.ravel())
-        return pd.DataFrame(rows)
+        out = pd.DataFrame({c: rows[c] for c in cols if c != "blk"})
+        out["blk"] = pd.Series(rows["blk"], dtype=object)
+        return out
     return run
 
 
