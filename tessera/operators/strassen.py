@@ -76,7 +76,7 @@ def divide(x: DataFrame, coeff: DataFrame, hr: int, hc: int) -> DataFrame:
     return r.where(F.col("v") != 0)
 
 
-def leaf_product(left: DataFrame, right: DataFrame, hot_split: bool = True,
+def leaf_product(left: DataFrame, right: DataFrame, hot_split: bool = False,
                  pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
                  max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """Per path: L * R on cells."""
@@ -114,13 +114,18 @@ def _cut(df: DataFrame, enabled: bool) -> DataFrame:
 def matmul_strassen(a: DataFrame, b: DataFrame, levels: int = 1,
                     shape_a: tuple[int, int] | None = None, shape_b: tuple[int, int] | None = None,
                     leaf: str = "join", block_size: int | None = None,
-                    hot_split: bool = True, pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
+                    hot_split: bool = False, pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
                     checkpoint_levels: bool = False) -> DataFrame:
     """C = A * B by ``levels`` levels of Strassen recursion.
 
     ``leaf='join'``: cell products at the leaves (exact for integer types).
     ``leaf='block'``: dense ``block_size`` tiles; quadrants are whole blocks
     and leaves are NumPy products (float64).
+
+    Skew at the leaves: a hot inner index is spread over the 7**L paths, and
+    the leaf sort-merge join is split at run time by AQE's skew-join handling
+    (on in ``get_session``). ``hot_split=True`` adds the explicit split of
+    ``joins.contract``; it costs one more pass over the operands.
     """
     shape_a = shape_a or shape_of(a)
     shape_b = shape_b or shape_of(b)

@@ -41,5 +41,5 @@ def test_split_join_is_exact(spark):
 def test_split_in_strassen_leaf(spark):
     x, y = skewed(32, 1)
     a, b = from_dense(spark, x), from_dense(spark, y)
-    c = matmul_strassen(a, b, 1, (32, 32), (32, 32), pairs_per_task=5)
+    c = matmul_strassen(a, b, 1, (32, 32), (32, 32), hot_split=True, pairs_per_task=5)
     assert (to_dense(c, (32, 32)) == x @ y).all()
