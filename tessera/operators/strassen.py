@@ -65,14 +65,24 @@ def replicate(x: DataFrame, coeff: DataFrame, hr: int, hc: int, side: str) -> Da
                     F.col("li").alias("i"), F.col("lj").alias("j"), "v", tag.alias("tag"))
 
 
-def divide(x: DataFrame, coeff: DataFrame, hr: int, hc: int) -> DataFrame:
-    """Operands of the next level: sum of signed quadrants per (child path, i, j)."""
+def divide(x: DataFrame, coeff: DataFrame, hr: int, hc: int,
+           cluster_by: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Operands of the next level: sum of signed quadrants per (child path, i, j).
+
+    ``cluster_by`` ('i' or 'j') hash-partitions the sum by (path, that index)
+    instead of (path, i, j): the aggregate accepts it, and the leaf join on
+    (path, inner index) then needs no shuffle of its own. A map-side combine
+    is not lost by this, since the quadrants summed into one operand cell
+    come from different input rows.
+    """
     q = quadrant("i", "j", hr, hc)
     s = x.select("path", q.alias("q"), local_index("i", hr).alias("i"),
                  local_index("j", hc).alias("j"), "v")
-    j = s.join(F.broadcast(coeff), "q")
-    r = (j.groupBy(child_path("path", "m").alias("path"), "i", "j")
-          .agg(F.sum(F.col("sgn") * F.col("v")).alias("v")))
+    j = s.join(F.broadcast(coeff), "q").select(
+        child_path("path", "m").alias("path"), "i", "j", (F.col("sgn") * F.col("v")).alias("v"))
+    if cluster_by:
+        j = j.repartition(partitions or default_tasks(x.sparkSession), "path", cluster_by)
+    r = j.groupBy("path", "i", "j").agg(F.sum("v").alias("v"))
     return r.where(F.col("v") != 0)
 
 
@@ -138,8 +148,9 @@ def matmul_strassen(a: DataFrame, b: DataFrame, levels: int = 1,
     left, right = with_root_path(a), with_root_path(b)
     for lvl in range(levels):
         hr, hk, hc = rr >> (lvl + 1), kk >> (lvl + 1), cc >> (lvl + 1)
-        left = _cut(divide(left, u, hr, hk), checkpoint_levels)
-        right = _cut(divide(right, v, hk, hc), checkpoint_levels)
+        last = lvl == levels - 1 and not hot_split and not checkpoint_levels
+        left = _cut(divide(left, u, hr, hk, "j" if last else None), checkpoint_levels)
+        right = _cut(divide(right, v, hk, hc, "i" if last else None), checkpoint_levels)
     p = leaf_product(left, right, hot_split, pairs_per_task)
     for lvl in reversed(range(levels)):
         p = _cut(combine(p, w, rr >> (lvl + 1), cc >> (lvl + 1)), checkpoint_levels)
