@@ -99,3 +99,38 @@ def blocks_to_cells(blocks: DataFrame, b: int, keep_zeros: bool = False,
                    (F.col("bj") * b + F.pmod(F.col("p"), F.col("nc"))).cast("bigint").alias("j"),
                    v.alias("v"))
     return out if keep_zeros else out.where(F.col("v") != 0)
+
+
+def submatrix(cells: DataFrame, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
+    """Rows [r0, r1) x columns [c0, c1), re-indexed from 0.
+
+    A plain filter on i and j: on a Parquet row table clustered by i it
+    reaches the scan and prunes row groups.
+    """
+    return (cells.where((F.col("i") >= r0) & (F.col("i") < r1) & (F.col("j") >= c0) & (F.col("j") < c1))
+                 .select((F.col("i") - r0).alias("i"), (F.col("j") - c0).alias("j"), "v"))
+
+
+def slice_rows(rows: DataFrame, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
+    """ROWS form of ``submatrix``: filter on i, ``slice`` of each row array."""
+    return (rows.where((F.col("i") >= r0) & (F.col("i") < r1))
+                .select((F.col("i") - r0).alias("i"), F.slice("row", c0 + 1, c1 - c0).alias("row")))
+
+
+def assemble(quadrants: dict[int, DataFrame], hr: int, hc: int) -> DataFrame:
+    """One matrix from its quadrants {q: CELLS} (q = 2*row half + column half).
+
+    Each quadrant is shifted by its offset and the four are unioned: no
+    shuffle, no join.
+    """
+    out = None
+    for q, x in sorted(quadrants.items()):
+        y = x.select((F.col("i") + (q // 2) * hr).alias("i"), (F.col("j") + (q % 2) * hc).alias("j"), "v")
+        out = y if out is None else out.unionByName(y)
+    return out
+
+
+def hstack_rows(left: DataFrame, right: DataFrame) -> DataFrame:
+    """[L | R] on ROWS: join on the row index (unique per side), concatenate rows."""
+    return left.join(right.withColumnRenamed("row", "row_r"), "i", "full_outer").select(
+        "i", F.concat(F.coalesce("row", F.array()), F.coalesce("row_r", F.array())).alias("row"))

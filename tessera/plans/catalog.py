@@ -85,6 +85,24 @@ def q_matrix_dims(spark, sf):
     return out
 
 
+def q_slice_assemble(spark, sf):
+    e = _e(spark, sf)
+    r, c = shape_of(e)
+    hr, hc = _half(r, 1, 1), _half(c, 1, 1)
+    quads = {2 * a + b: layout.submatrix(e, a * hr, (a + 1) * hr if a == 0 else r,
+                                         b * hc, (b + 1) * hc if b == 0 else c)
+             for a in (0, 1) for b in (0, 1)}
+    return layout.assemble(quads, hr, hc)
+
+
+def q_rows_slice_hstack(spark, sf):
+    rows = tables.embedding_rows(spark, sf)
+    r, c = shape_of(_e(spark, sf))
+    hc = _half(c, 1, 1)
+    x = layout.hstack_rows(layout.slice_rows(rows, 0, r, 0, hc), layout.slice_rows(rows, 0, r, hc, c))
+    return x.select("i", _text("row").alias("row_text"))
+
+
 # ----------------------------------------------------------------- algebra
 def q_matrix_add(spark, sf):
     e = _e(spark, sf)
@@ -258,6 +276,8 @@ QUERIES = {
     "cells_to_blocks": q_cells_to_blocks,
     "blocks_roundtrip": q_blocks_roundtrip,
     "matrix_dims": q_matrix_dims,
+    "slice_assemble": q_slice_assemble,
+    "rows_slice_hstack": q_rows_slice_hstack,
     "block_split": q_block_split,
     "strassen_replicate": q_strassen_replicate,
     "union_tagged": q_union_tagged,
@@ -324,6 +344,8 @@ def _oracle() -> dict[str, str]:
     o["matrix_dims"] = " UNION ALL ".join(
         f"SELECT '{nm}' AS matrix, CAST(max(i) + 1 AS BIGINT) AS nrows, CAST(max(j) + 1 AS BIGINT) AS ncols, "
         f"count(*) AS nnz FROM ({src})" for nm, src in (("E", E), ("SP", SP), ("UE", UE)))
+    o["slice_assemble"] = E
+    o["rows_slice_hstack"] = f"SELECT i, {_text_sql('j')} AS row_text FROM ({E}) GROUP BY i"
     o["block_split"] = sq.quadrants(E, _h(ne, 1, 1), _h(me, 1, 1), "A")
     o["strassen_replicate"] = sq.replicate(sq.with_path(E), "A", _h(ne, 1, 1), _h(me, 1, 1))
     hr, hk, hc = _h(me, 1, 1), _h(ne, 1, 1), _h(me, 1, 1)
