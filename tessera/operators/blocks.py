@@ -68,10 +68,10 @@ def sum_blocks(df: DataFrame, keys: list[str], sign: str | None = None) -> DataF
 
 def _panel(group: list[str]):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = group + ["bi", "bj", "nr", "nc", "blk"]
+        cols = group + ["bi", "bj", "nr", "nc", "blk", "kc"]
         if a.empty or b.empty:
             return pd.DataFrame({c: pd.Series([], dtype=object if c == "blk" else "int64") for c in cols})
-        gvals = [a[c].iloc[0] for c in group]
+        gvals = [a[c].iloc[0] for c in group + ["kc"]]
         by_k: dict = {}
         for bk, bj, nr, nc, blk in zip(b["bk"], b["bj"], b["nr"], b["nc"], b["blk"]):
             by_k.setdefault(bk, []).append((bj, np.asarray(blk, dtype=np.float64).reshape(nr, nc)))
@@ -90,7 +90,7 @@ def _panel(group: list[str]):
                     acc[key] = p
         rows = {c: [] for c in cols}
         for (bi, bj), p in acc.items():
-            for c, val in zip(group, gvals):
+            for c, val in zip(group + ["kc"], gvals):
                 rows[c].append(val)
             rows["bi"].append(bi)
             rows["bj"].append(bj)
@@ -124,12 +124,25 @@ def block_product(a: DataFrame, b: DataFrame, grid: tuple[int, int],
             .withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))))
     keys = group + ["gi", "gj", "kc"]
     gschema = ", ".join(f"{c} BIGINT" for c in group)
-    schema = (gschema + ", " if gschema else "") + _BLOCK_FIELDS
+    schema = (gschema + ", " if gschema else "") + _BLOCK_FIELDS + ", kc INT"
     part = (av.groupBy(*keys).cogroup(bv.groupBy(*keys))
               .applyInPandas(_panel(group), schema))
     if k == 1:
-        return part
-    return sum_blocks(part, group + ["bi", "bj"])
+        return part.select(*group, "bi", "bj", "nr", "nc", "blk")
+    return tree_sum_blocks(part, group + ["bi", "bj"], "kc", k)
+
+
+def tree_sum_blocks(df: DataFrame, keys: list[str], level: str, n: int, fan_in: int = 16) -> DataFrame:
+    """Sum the ``n`` partial blocks per key, at most ``fan_in`` at a time.
+
+    ``level`` numbers the partials 0..n-1; each round groups them by
+    ``level div fan_in``, so no group ever gathers more than ``fan_in``
+    blocks, however large n is.
+    """
+    while n > fan_in:
+        df = sum_blocks(df.withColumn(level, F.floor(F.col(level) / fan_in).cast("int")), keys + [level])
+        n = -(-n // fan_in)
+    return sum_blocks(df, keys)
 
 
 def default_tasks(spark: SparkSession) -> int:

@@ -127,17 +127,21 @@ def matmul_strassen(a: DataFrame, b: DataFrame, levels: int = 1,
                     shape_a: tuple[int, int] | None = None, shape_b: tuple[int, int] | None = None,
                     leaf: str = "join", block_size: int | None = None,
                     hot_split: bool = False, pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
-                    checkpoint_levels: bool = False) -> DataFrame:
+                    checkpoint_levels: bool = False, co_partition: bool = False) -> DataFrame:
     """C = A * B by ``levels`` levels of Strassen recursion.
 
     ``leaf='join'``: cell products at the leaves (exact for integer types).
     ``leaf='block'``: dense ``block_size`` tiles; quadrants are whole blocks
     and leaves are NumPy products (float64).
 
-    Skew at the leaves: a hot inner index is spread over the 7**L paths, and
-    the leaf sort-merge join is split at run time by AQE's skew-join handling
-    (on in ``get_session``). ``hot_split=True`` adds the explicit split of
-    ``joins.contract``; it costs one more pass over the operands.
+    Skew at the leaves: by default the leaf join shuffles on (path, inner
+    index) itself, so AQE's skew-join handling (on in ``get_session``) can
+    split a hot inner index at run time. ``hot_split=True`` adds the
+    explicit split of ``joins.contract``, at the cost of one more pass over
+    the operands. ``co_partition=True`` is for inputs known to be dense
+    (every inner index has the same count, so none can be hot): the last
+    divide is then partitioned by the join key and the leaf join needs no
+    shuffle of its own -- two exchanges fewer, but no run-time skew split.
     """
     shape_a = shape_a or shape_of(a)
     shape_b = shape_b or shape_of(b)
@@ -150,7 +154,7 @@ def matmul_strassen(a: DataFrame, b: DataFrame, levels: int = 1,
     left, right = with_root_path(a), with_root_path(b)
     for lvl in range(levels):
         hr, hk, hc = rr >> (lvl + 1), kk >> (lvl + 1), cc >> (lvl + 1)
-        last = lvl == levels - 1 and not hot_split and not checkpoint_levels
+        last = co_partition and lvl == levels - 1 and not hot_split and not checkpoint_levels
         left = _cut(divide(left, u, hr, hk, "j" if last else None), checkpoint_levels)
         right = _cut(divide(right, v, hk, hc, "i" if last else None), checkpoint_levels)
     p = leaf_product(left, right, hot_split, pairs_per_task)

@@ -217,7 +217,8 @@ def q_matmul_block(spark, sf):
 def _strassen_et_e(levels, **kw):
     def run(spark, sf):
         et, e, sa, sb = _et_e(spark, sf)
-        return strassen.matmul_strassen(et, e, levels, sa, sb, **kw)
+        # E is dense by construction (every embedding element is a cell).
+        return strassen.matmul_strassen(et, e, levels, sa, sb, co_partition=True, **kw)
     return run
 
 

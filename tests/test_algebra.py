@@ -120,3 +120,20 @@ def test_dispatch(spark):
         assert (to_dense(matmul(a, b, strategy=s, block_size=2, levels=1), (6, 6)) == x @ y).all()
     with pytest.raises(ValueError):
         matmul(a, b, strategy="nope")
+
+
+def test_block_grid_and_tree_sum(spark):
+    """Many inner chunks (K > fan-in) are summed in rounds; any grid gives the same result."""
+    x, y = rnd((40, 40), 17), rnd((40, 40), 18)
+    a, b = from_dense(spark, x), from_dense(spark, y)
+    for grid in [(1, 1), (3, 2), (1, 20), (4, 20)]:
+        c = matmul_block(a, b, 2, (40, 40), (40, 40), grid=grid)
+        assert (to_dense(c, (40, 40)) == x @ y).all(), grid
+
+
+def test_strassen_co_partition_same_result(spark):
+    x, y = rnd((12, 10), 19), rnd((10, 14), 20)
+    a, b = from_dense(spark, x), from_dense(spark, y)
+    for lv in (1, 2):
+        c = matmul_strassen(a, b, lv, (12, 10), (10, 14), co_partition=True)
+        assert (to_dense(c, (12, 14)) == x @ y).all()

@@ -42,10 +42,16 @@ def test_scan_prunes_columns(spark):
 
 
 def test_partial_aggregation_before_shuffle(spark):
-    p = plan(QUERIES["matmul_abt"](spark, SF01))
+    p = plan(QUERIES["matmul_join"](spark, SF01))
     assert "partial_sum" in p
 
 
+def test_dense_product_takes_block_path(spark):
+    """E * E^T is dense with real work: dispatch picks NumPy block panels, not cell pairs."""
+    p = plan(QUERIES["matmul_abt"](spark, SF01))
+    assert "FlatMapCoGroupsInPandas" in p
+
+
 def test_no_driver_collect_in_operators():
     """Operators never pull data to the driver (only bounded shape/size checks)."""
     allowed = {"layout.py": ["first()"], "dispatch.py": ["first()"], "joins.py": ["count()"]}

@@ -43,3 +43,27 @@ def test_split_in_strassen_leaf(spark):
     a, b = from_dense(spark, x), from_dense(spark, y)
     c = matmul_strassen(a, b, 1, (32, 32), (32, 32), hot_split=True, pairs_per_task=5)
     assert (to_dense(c, (32, 32)) == x @ y).all()
+
+
+def test_aqe_splits_hot_leaf_join(spark):
+    """With the default plan, AQE sees the hot inner index and splits the leaf join."""
+    x, y = skewed(64, 2)
+    a, b = from_dense(spark, x), from_dense(spark, y)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        c = matmul_strassen(a.repartition(8), b.repartition(8), 1, (64, 64), (64, 64))
+        got = to_dense(c, (64, 64))
+        final = c._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert (got == x @ y).all()
+    assert "isSkewJoin=true" in final or "skew=true" in final
