@@ -149,6 +149,16 @@ def default_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def matmul_blocks(a: DataFrame, b: DataFrame, block_size: int, shape_a: tuple[int, int],
+                  shape_b: tuple[int, int], grid: tuple[int, int] | None = None) -> DataFrame:
+    """C = A * B on the BLOCKS layout (both sides tiled with the same ``block_size``)."""
+    nbi = -(-shape_a[0] // block_size)
+    nbk = -(-shape_a[1] // block_size)
+    nbj = -(-shape_b[1] // block_size)
+    grid = grid or grid_for(nbi, nbk, nbj, block_size, default_tasks(a.sparkSession))
+    return block_product(a, b, grid)
+
+
 def matmul_block(a: DataFrame, b: DataFrame, block_size: int,
                  shape_a: tuple[int, int] | None = None, shape_b: tuple[int, int] | None = None,
                  grid: tuple[int, int] | None = None, cast: str | None = "auto") -> DataFrame:
@@ -157,16 +167,11 @@ def matmul_block(a: DataFrame, b: DataFrame, block_size: int,
     Arithmetic is float64; with ``cast='auto'`` integer inputs come back as
     BIGINT (exact while every partial sum stays below 2**53).
     """
-    spark = a.sparkSession
     shape_a = shape_a or shape_of(a)
     shape_b = shape_b or shape_of(b)
     ab = cells_to_blocks(a, block_size, shape_a)
     bb = cells_to_blocks(b, block_size, shape_b)
-    nbi = -(-shape_a[0] // block_size)
-    nbk = -(-shape_a[1] // block_size)
-    nbj = -(-shape_b[1] // block_size)
-    grid = grid or grid_for(nbi, nbk, nbj, block_size, default_tasks(spark))
-    c = block_product(ab, bb, grid)
+    c = matmul_blocks(ab, bb, block_size, shape_a, shape_b, grid)
     if cast == "auto":
         ta, tb = dict(a.dtypes)["v"], dict(b.dtypes)["v"]
         cast = "bigint" if ta in ("bigint", "int", "smallint", "tinyint") and tb == ta else None

@@ -37,14 +37,16 @@ def shape_of(cells: DataFrame) -> tuple[int, int]:
 def _dense(entries: str, n, vtype: str) -> F.Column:
     """Dense array of length ``n`` from array<struct<p, v>> with distinct positions.
 
-    Missing positions get an explicit zero (hash-set difference, O(n)); one
-    natural-order sort by position then gives the values in order. All JVM.
+    A full array is only sorted by position. Otherwise the missing positions
+    get explicit zeros first (hash-set difference, O(n)). All JVM.
     """
+    e = F.col(entries)
+    full = F.transform(e, lambda x: F.struct(x["p"].cast("bigint").alias("p"), x["v"].alias("v")))
     missing = F.array_except(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1),
-                             F.transform(entries, lambda x: x["p"].cast("bigint")))
+                             F.transform(e, lambda x: x["p"].cast("bigint")))
     zeros = F.transform(missing, lambda p: F.struct(p.alias("p"), F.lit(0).cast(vtype).alias("v")))
-    full = F.transform(entries, lambda x: F.struct(x["p"].cast("bigint").alias("p"), x["v"].alias("v")))
-    return F.transform(F.sort_array(F.concat(full, zeros)), lambda x: x["v"])
+    return F.when(F.size(e) == n, F.transform(F.sort_array(e), lambda x: x["v"])).otherwise(
+        F.transform(F.sort_array(F.concat(full, zeros)), lambda x: x["v"]))
 
 
 def cells_to_rows(cells: DataFrame, ncols: int | None = None) -> DataFrame:
@@ -83,6 +85,48 @@ def cells_to_blocks(cells: DataFrame, b: int, shape: tuple[int, int], pad: bool
     return g.select("bi", "bj", "nr", "nc", blk.alias("blk"))
 
 
+def rows_to_blocks(rows: DataFrame, b: int, shape: tuple[int, int], pad: bool = False) -> DataFrame:
+    """ROWS (dense rows of length ncols) -> BLOCKS.
+
+    Each row is cut into column segments of ``b`` (array slices, no per-cell
+    rows); the ``b`` segments of a block are then gathered and concatenated
+    in row order. A group holds at most ``b`` segments.
+    """
+    nrows, ncols = shape
+    nbj = -(-ncols // b)
+    vtype = dict(rows.dtypes)["row"][len("array<"):-1]
+    segs = rows.select(
+        "i", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(nbj - 1)),
+                                      lambda c: F.slice("row", c * b + 1, b))).alias("bj", "seg"))
+    bi = F.floor(F.col("i") / b).cast("bigint")
+    keyed = segs.select(bi.alias("bi"), F.col("bj").cast("bigint").alias("bj"),
+                        (F.col("i") - bi * b).cast("int").alias("li"), "seg")
+    g = keyed.groupBy("bi", "bj").agg(F.sort_array(F.collect_list(F.struct("li", "seg"))).alias("e"))
+    nr = F.least(F.lit(b), F.lit(nrows) - F.col("bi") * b).cast("int")
+    nc = F.least(F.lit(b), F.lit(ncols) - F.col("bj") * b).cast("int")
+    if pad:
+        zero_seg = F.array_repeat(F.lit(0).cast(vtype), b)
+        padded_segs = F.transform("e", lambda x: F.concat(
+            x["seg"], F.array_repeat(F.lit(0).cast(vtype), F.lit(b) - F.size(x["seg"]))))
+        m = F.map_from_arrays(F.transform("e", lambda x: x["li"]), padded_segs)
+        blk = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(b - 1)),
+                                    lambda r: F.coalesce(F.element_at(m, r), zero_seg)))
+        return g.select("bi", "bj", F.lit(b).alias("nr"), F.lit(b).alias("nc"), blk.alias("blk"))
+    return g.select("bi", "bj", nr.alias("nr"), nc.alias("nc"),
+                    F.flatten(F.transform("e", lambda x: x["seg"])).alias("blk"))
+
+
+def transpose_blocks(blocks: DataFrame) -> DataFrame:
+    """BLOCKS of A -> BLOCKS of A^T: swap block indices, transpose each tile (JVM)."""
+    t = F.transform(F.sequence(F.lit(0), F.col("nr") * F.col("nc") - 1),
+                    lambda p: F.col("blk")[F.pmod(p, F.col("nr")) * F.col("nc") + F.floor(p / F.col("nr"))])
+    # Transpose in its own projection: in one select with the swapped
+    # aliases, names inside the lambda could resolve to those aliases.
+    x = blocks.select("bi", "bj", "nr", "nc", t.alias("tblk"))
+    return x.select(F.col("bj").alias("bi"), F.col("bi").alias("bj"),
+                    F.col("nc").alias("nr"), F.col("nr").alias("nc"), F.col("tblk").alias("blk"))
+
+
 def blocks_to_cells(blocks: DataFrame, b: int, keep_zeros: bool = False,
                     cast: str | None = None) -> DataFrame:
     """BLOCKS -> CELLS. ``b`` is the nominal block size (offset of block bi is bi*b).

@@ -209,9 +209,12 @@ def q_matmul_broadcast(spark, sf):
 
 
 def q_matmul_block(spark, sf):
-    e = _e(spark, sf)
-    r, c = shape_of(e)
-    return blocks.matmul_block(e, algebra.transpose(e), 64, (r, c), (c, r))
+    """E * E^T straight from the row table: rows -> tiles, tiles transposed, NumPy panels."""
+    rows = tables.embedding_rows(spark, sf)
+    r, c = shape_of(_e(spark, sf))
+    eb = layout.rows_to_blocks(rows, 64, (r, c))
+    prod = blocks.matmul_blocks(eb, layout.transpose_blocks(eb), 64, (r, c), (c, r))
+    return layout.blocks_to_cells(prod, 64, cast="bigint")
 
 
 def _strassen_et_e(levels, **kw):

@@ -26,20 +26,29 @@ def _grid(spark: SparkSession, nrows: int, ncols: int, partitions: int | None) -
                     F.pmod(F.col("id"), F.lit(ncols)).cast("bigint").alias("j"))
 
 
-def uniform_value(seed: int) -> Column:
+def _ij(i, j):
+    return (F.col("i") if i is None else i), (F.col("j") if j is None else j)
+
+
+def uniform_value(seed: int, i: Column | None = None, j: Column | None = None) -> Column:
     """Double in [0, 1): top 53 bits of xxhash64(i, j, seed)."""
-    h = F.xxhash64(F.col("i"), F.col("j"), F.lit(seed).cast("bigint"))
+    i, j = _ij(i, j)
+    h = F.xxhash64(i.cast("bigint"), j.cast("bigint"), F.lit(seed).cast("bigint"))
     return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
 
 
-def binary_value(seed: int, k: int = 2) -> Column:
+def binary_value(seed: int, k: int = 2, i: Column | None = None, j: Column | None = None) -> Column:
     """Integer in [0, k): k=2 gives 0/1 matrices, k=1 the all-zero matrix."""
-    return F.pmod(F.xxhash64(F.col("i"), F.col("j"), F.lit(seed).cast("bigint")), F.lit(k)).cast("bigint")
+    i, j = _ij(i, j)
+    return F.pmod(F.xxhash64(i.cast("bigint"), j.cast("bigint"), F.lit(seed).cast("bigint")),
+                  F.lit(k)).cast("bigint")
 
 
-def formula_value(seed: int, modulus: int = FORMULA_MOD) -> Column:
+def formula_value(seed: int, modulus: int = FORMULA_MOD, i: Column | None = None,
+                  j: Column | None = None) -> Column:
     """(48271*i + 16807*j + seed) mod modulus; reproducible in any SQL engine."""
-    return F.pmod(F.col("i") * FORMULA_A + F.col("j") * FORMULA_B + F.lit(seed),
+    i, j = _ij(i, j)
+    return F.pmod(i.cast("bigint") * FORMULA_A + j.cast("bigint") * FORMULA_B + F.lit(seed),
                   F.lit(modulus)).cast("bigint")
 
 
@@ -58,6 +67,19 @@ def formula(spark: SparkSession, nrows: int, ncols: int, seed: int = 0,
     return _grid(spark, nrows, ncols, partitions).select("i", "j", formula_value(seed, modulus).alias("v"))
 
 
+def rows(spark: SparkSession, nrows: int, ncols: int, kind: str = "uniform", seed: int = 0,
+         partitions: int | None = None, **kw) -> DataFrame:
+    """The same matrices in ROWS form: one record per row, built by the row's task.
+
+    Equal, cell for cell, to the CELLS generators with the same arguments.
+    """
+    fn = {"uniform": uniform_value, "binary": binary_value, "formula": formula_value}[kind]
+    r = spark.range(0, nrows, numPartitions=partitions) if partitions else spark.range(0, nrows)
+    row = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(ncols - 1).cast("bigint")),
+                      lambda j: fn(seed, i=F.col("id"), j=j, **kw))
+    return r.select(F.col("id").alias("i"), row.alias("row"))
+
+
 def like(cells: DataFrame, value: Column) -> DataFrame:
     """A generated matrix on the index grid of ``cells``."""
     return cells.select("i", "j", value.alias("v"))

@@ -137,3 +137,20 @@ def test_strassen_co_partition_same_result(spark):
     for lv in (1, 2):
         c = matmul_strassen(a, b, lv, (12, 10), (10, 14), co_partition=True)
         assert (to_dense(c, (12, 14)) == x @ y).all()
+
+
+def test_rows_to_blocks_and_block_transpose(spark):
+    from tessera.operators.blocks import matmul_blocks
+    from tessera.operators.layout import (blocks_to_cells, cells_to_blocks, cells_to_rows,
+                                          rows_to_blocks, transpose_blocks)
+    x = rnd((11, 7), 21)
+    a = from_dense(spark, x, keep_zeros=True)
+    for pad in (False, True):
+        rb = rows_to_blocks(cells_to_rows(a), 3, (11, 7), pad=pad).orderBy("bi", "bj").collect()
+        cb = cells_to_blocks(a, 3, (11, 7), pad=pad).orderBy("bi", "bj").collect()
+        assert [tuple(r) for r in rb] == [tuple(r) for r in cb]
+    t = blocks_to_cells(transpose_blocks(cells_to_blocks(a, 3, (11, 7))), 3)
+    assert (to_dense(t, (7, 11)) == x.T).all()
+    ab = cells_to_blocks(a, 3, (11, 7))
+    c = blocks_to_cells(matmul_blocks(ab, transpose_blocks(ab), 3, (11, 7), (7, 11)), 3, cast="bigint")
+    assert (to_dense(c, (11, 11)) == x @ x.T).all()

@@ -70,3 +70,10 @@ def test_rows_from_local(spark):
     r = io.rows_from_local(spark, [[1.0, 2.0], [3.0, 4.0]])
     c = to_dense(rows_to_cells(r), (2, 2), dtype=float)
     assert (c == np.array([[1.0, 2.0], [3.0, 4.0]])).all()
+
+
+def test_row_generators_equal_cell_generators(spark):
+    for kind in ("uniform", "binary", "formula"):
+        r = rows_to_cells(generate.rows(spark, 7, 5, kind, seed=4))
+        c = getattr(generate, kind)(spark, 7, 5, seed=4)
+        assert r.exceptAll(c).count() == 0 and c.exceptAll(r).count() == 0
