@@ -10,6 +10,18 @@ are copied to all ``sb`` column-buckets, right rows the other way round.
 Every (left, right) pair still meets exactly once, so the result is exact;
 keys outside the table take the ordinary shuffle join, where AQE's skew-join
 splitting still applies.
+
+Two ways to split, then:
+
+* default (``hot_split=False``): the join shuffles on its keys as Spark
+  plans it, and AQE's skew-join handling (enabled by ``get_session``) cuts
+  an oversized partition into map-block slices on both sides at run time.
+  No extra pass; this is what a hot key meets unless told otherwise.
+* ``hot_split=True``: the explicit split above, decided before the join
+  from exact per-key counts. It costs one more pass over both inputs (only
+  the key column is read when the input is a stored table), and it also
+  covers plans where AQE cannot act (AQE disabled, or a user repartition
+  under the join).
 """
 
 from __future__ import annotations
@@ -54,7 +66,7 @@ def hot_key_table(left: DataFrame, right: DataFrame, keys: list[str],
     return st.orderBy(F.desc("pairs")).limit(max_hot).select(*keys, "sa", "sb")
 
 
-def contract(left: DataFrame, right: DataFrame, group: list[str], hot_split: bool = True,
+def contract(left: DataFrame, right: DataFrame, group: list[str], hot_split: bool = False,
              pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
              max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
     """sum_k left(g, r, k, lv) * right(g, k, c, rv) -> (g..., r, c, v).

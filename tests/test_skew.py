@@ -34,7 +34,8 @@ def test_split_join_is_exact(spark):
     x, y = skewed()
     a, b = from_dense(spark, x), from_dense(spark, y)
     for ppt in (1, 50, 1 << 24):
-        assert (to_dense(matmul_join(a, b, pairs_per_task=ppt, max_hot=3), (60, 60)) == x @ y).all()
+        c = matmul_join(a, b, hot_split=True, pairs_per_task=ppt, max_hot=3)
+        assert (to_dense(c, (60, 60)) == x @ y).all()
     assert (to_dense(matmul_join(a, b, hot_split=False), (60, 60)) == x @ y).all()
 
 
@@ -45,6 +46,37 @@ def test_split_in_strassen_leaf(spark):
     assert (to_dense(c, (32, 32)) == x @ y).all()
 
 
+AQE_CONF = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "16"}
+
+
+def _with_conf(spark, conf, fn):
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        return fn()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_aqe_splits_hot_key_in_join_product(spark):
+    x, y = skewed(64, 3)
+    a, b = from_dense(spark, x).repartition(8), from_dense(spark, y).repartition(8)
+
+    def run():
+        c = matmul_join(a, b)
+        return to_dense(c, (64, 64)), c._jdf.queryExecution().executedPlan().toString()
+    got, final = _with_conf(spark, AQE_CONF, run)
+    assert (got == x @ y).all()
+    assert "SortMergeJoin(skew=true)" in final
+
+
 def test_aqe_splits_hot_leaf_join(spark):
     """With the default plan, AQE sees the hot inner index and splits the leaf join."""
     x, y = skewed(64, 2)
@@ -66,4 +98,4 @@ def test_aqe_splits_hot_leaf_join(spark):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert (got == x @ y).all()
-    assert "isSkewJoin=true" in final or "skew=true" in final
+    assert "SortMergeJoin(skew=true)" in final
