@@ -225,6 +225,22 @@ def _strassen_et_e(levels, **kw):
     return run
 
 
+def q_matmul_strassen_checkpointed(spark, sf):
+    """Two levels with the lineage cut after every level (reliable checkpoints in the shared folder)."""
+    et, e, sa, sb = _et_e(spark, sf)
+    shared_dir(spark)
+    return strassen.matmul_strassen(et, e, 2, sa, sb, checkpoint_levels=True)
+
+
+def q_blocks_parquet_roundtrip(spark, sf):
+    """E tiled from its row table, stored as Parquet tiles, read back as cells."""
+    rows = tables.embedding_rows(spark, sf)
+    r, c = shape_of(_e(spark, sf))
+    path = f"{shared_dir(spark)}/tessera-tiles-{uuid.uuid4().hex}"
+    io.write_blocks(layout.rows_to_blocks(rows, 32, (r, c)), path)
+    return layout.blocks_to_cells(io.read_blocks(spark, path, "bigint"), 32)
+
+
 def q_matmul_strassen_rect(spark, sf):
     ue = tables.user_event(spark, sf)
     r, c = shape_of(ue)
@@ -301,6 +317,7 @@ QUERIES = {
     "matmul_strassen_l1": _strassen_et_e(1),
     "matmul_strassen_l2": _strassen_et_e(2),
     "matmul_strassen_l3": _strassen_et_e(3),
+    "matmul_strassen_checkpointed": q_matmul_strassen_checkpointed,
     "matmul_strassen_rect": q_matmul_strassen_rect,
     "matmul_strassen_sparse": q_matmul_strassen_sparse,
     "matmul_strassen_block": _strassen_et_e(1, leaf="block", block_size=16),
@@ -310,6 +327,7 @@ QUERIES = {
     "generate_binary": q_generate_binary,
     "generate_uniform": q_generate_uniform,
     "parquet_roundtrip": q_parquet_roundtrip,
+    "blocks_parquet_roundtrip": q_blocks_parquet_roundtrip,
 }
 
 
@@ -379,6 +397,8 @@ def _oracle() -> dict[str, str]:
     o["matmul_block"] = sq.product(E, ET)
     for lv in (1, 2, 3):
         o[f"matmul_strassen_l{lv}"] = sq.product(ET, E)
+    o["matmul_strassen_checkpointed"] = sq.product(ET, E)
+    o["blocks_parquet_roundtrip"] = sq.nonzero(E)
     o["matmul_strassen_rect"] = sq.product(sq.t(UE), UE)
     o["matmul_strassen_sparse"] = sq.product(SP, sq.t(SP))
     o["matmul_strassen_block"] = sq.product(ET, E)

@@ -77,6 +77,24 @@ def read_sweep(spark: SparkSession, path: str, n: int, which: int,
     return rows_to_cells(rows.select("i", "row"))
 
 
+BLOCKS_SCHEMA = "bi BIGINT, bj BIGINT, nr INT, nc INT, blk ARRAY<{t}>"
+
+
+def write_blocks(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """BLOCKS -> Parquet, range-partitioned and sorted by (bi, bj).
+
+    Tiling a dense matrix once and storing the tiles lets every later block
+    product skip the cells -> tiles conversion; filters on bi / bj prune row
+    groups.
+    """
+    (blocks.repartitionByRange("bi", "bj").sortWithinPartitions("bi", "bj")
+           .write.mode(mode).parquet(path))
+
+
+def read_blocks(spark: SparkSession, path: str, value_type: str = "double") -> DataFrame:
+    return spark.read.schema(BLOCKS_SCHEMA.format(t=value_type)).parquet(path)
+
+
 def read_csv_matrix(spark: SparkSession, path: str, scale: int | None = 100000) -> DataFrame:
     """Headerless comma-separated matrix file(s) -> CELLS.
 
