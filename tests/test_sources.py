@@ -77,3 +77,24 @@ def test_row_generators_equal_cell_generators(spark):
         r = rows_to_cells(generate.rows(spark, 7, 5, kind, seed=4))
         c = getattr(generate, kind)(spark, 7, 5, seed=4)
         assert r.exceptAll(c).count() == 0 and c.exceptAll(r).count() == 0
+
+
+def test_bucketed_factors_join_without_shuffle(spark):
+    from tessera.operators.products import matmul_join
+    from tessera.sources.io import save_bucketed
+    base = shared_dir(spark)
+    tag = np.random.default_rng().integers(1 << 40)
+    a = generate.formula(spark, 30, 20, seed=1)
+    b = generate.formula(spark, 20, 25, seed=2)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ta = save_bucketed(a, f"tess_a_{tag}", f"{base}/bucket-a-{tag}", "j", 8)
+        tb = save_bucketed(b, f"tess_b_{tag}", f"{base}/bucket-b-{tag}", "i", 8)
+        c = matmul_join(ta, tb)
+        p = c._jdf.queryExecution().executedPlan().toString()
+        join_part = p[p.index("SortMergeJoin"):]
+        assert "Exchange" not in join_part
+        assert (to_dense(c, (30, 25)) == to_dense(a, (30, 20)) @ to_dense(b, (20, 25))).all()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
