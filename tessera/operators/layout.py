@@ -28,6 +28,19 @@ def matrix_dims(cells: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("nnz"))
 
 
+def dims_of(*matrices: DataFrame) -> list[tuple[int, int, int]]:
+    """(nrows, ncols, nnz) of several matrices in one job (one aggregate row each)."""
+    u = None
+    for n, m in enumerate(matrices):
+        x = m.select(F.lit(n).alias("_m"), "i", "j")
+        u = x if u is None else u.unionByName(x)
+    got = {r["_m"]: r for r in u.groupBy("_m").agg(
+        (F.max("i") + 1).alias("nrows"), (F.max("j") + 1).alias("ncols"),
+        F.count(F.lit(1)).alias("nnz")).collect()}
+    return [(int(got[n]["nrows"]), int(got[n]["ncols"]), int(got[n]["nnz"])) if n in got else (0, 0, 0)
+            for n in range(len(matrices))]
+
+
 def shape_of(cells: DataFrame) -> tuple[int, int]:
     """(nrows, ncols) as Python ints: a one-row aggregate, for plan-time sizes."""
     r = matrix_dims(cells).first()

@@ -99,3 +99,18 @@ def test_aqe_splits_hot_leaf_join(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert (got == x @ y).all()
     assert "SortMergeJoin(skew=true)" in final
+
+
+def test_broadcast_product_splits_hot_rows(spark):
+    """One row of A holding a third of its cells is spread over tasks; result exact."""
+    from tessera.operators.products import matmul_broadcast
+    r = np.random.default_rng(4)
+    x = (r.random((40, 50)) < 0.05) * r.integers(1, 9, (40, 50))
+    x[3, :] = r.integers(1, 9, 50)
+    y = r.integers(-3, 4, (50, 30))
+    a, b = from_dense(spark, x.astype(np.int64)), from_dense(spark, y.astype(np.int64))
+    for cpt in (10, 1 << 20):
+        c = matmul_broadcast(a, b, cells_per_task=cpt)
+        assert (to_dense(c, (40, 30)) == x @ y).all()
+    c = matmul_broadcast(a, b, split_hot_rows=False)
+    assert (to_dense(c, (40, 30)) == x @ y).all()
