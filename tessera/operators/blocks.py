@@ -35,19 +35,26 @@ _BLOCK_FIELDS = "bi BIGINT, bj BIGINT, nr INT, nc INT, blk ARRAY<DOUBLE>"
 
 def grid_for(nbi: int, nbk: int, nbj: int, b: int, tasks: int,
              group_bytes: int = DEFAULT_GROUP_BYTES) -> tuple[int, int]:
-    """(G, K): about ``tasks`` groups, each with at most ``group_bytes`` of input."""
-    g = max(1, min(max(nbi, nbj), int(math.ceil(math.sqrt(max(tasks, 1) / max(nbk, 1))))))
+    """(G, K): about ``tasks`` groups, each with at most ``group_bytes`` of input.
+
+    G (copies of each input tile) is raised first, up to the number of block
+    rows / columns; the inner split K is used only where G alone cannot give
+    enough tasks or where a group would exceed the budget, since every extra
+    chunk adds one partial tile per output tile and a summing round.
+    """
+    gmax = max(nbi, nbj, 1)
+    g = max(1, min(gmax, int(math.ceil(math.sqrt(max(tasks, 1))))))
     k = max(1, min(nbk, int(math.ceil(tasks / (g * g)))))
 
     def mem(g_, k_):
         kk = math.ceil(nbk / k_)
         return 8 * b * b * kk * (math.ceil(nbi / g_) + math.ceil(nbj / g_))
 
-    while mem(g, k) > group_bytes and (k < nbk or g < max(nbi, nbj)):
+    while mem(g, k) > group_bytes and (k < nbk or g < gmax):
         if k < nbk:
             k = min(nbk, k * 2)
         else:
-            g = min(max(nbi, nbj), g * 2)
+            g = min(gmax, g * 2)
     return g, k
 
 

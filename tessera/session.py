@@ -18,6 +18,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    # One core per task already: keep NumPy's BLAS single-threaded in workers.
+    for var in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        os.environ.setdefault(var, "1")
+        b = b.config(f"spark.executorEnv.{var}", os.environ[var])
     b = (b.config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.adaptive.enabled", "true")
@@ -27,8 +31,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    if os.environ.get("TESSERA_DRIVER_MEMORY"):
-        b = b.config("spark.driver.memory", os.environ["TESSERA_DRIVER_MEMORY"])
+    # Local mode runs everything in the driver JVM, whose default heap is 1 GB;
+    # on a cluster the submitter sizes driver and executors, not this code.
+    mem = os.environ.get("TESSERA_DRIVER_MEMORY") or ("12g" if (master or "").startswith("local") else None)
+    if mem:
+        b = b.config("spark.driver.memory", mem)
     spark = b.getOrCreate()
     shared_dir(spark)
     return spark
