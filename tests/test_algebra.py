@@ -154,3 +154,19 @@ def test_rows_to_blocks_and_block_transpose(spark):
     ab = cells_to_blocks(a, 3, (11, 7))
     c = blocks_to_cells(matmul_blocks(ab, transpose_blocks(ab), 3, (11, 7), (7, 11)), 3, cast="bigint")
     assert (to_dense(c, (11, 11)) == x @ x.T).all()
+
+
+try:
+    from hypothesis import given, settings, strategies as st
+except ImportError:  # pragma: no cover
+    given = None
+
+if given is not None:
+    @settings(max_examples=6, deadline=None)
+    @given(r=st.integers(1, 9), k=st.integers(1, 9), c=st.integers(1, 9), levels=st.integers(0, 3),
+           seed=st.integers(0, 1000))
+    def test_property_strassen_levels_agree_with_numpy(spark, r, k, c, levels, seed):
+        """Any shape, 0..3 levels: Strassen equals the plain product."""
+        x, y = rnd((r, k), seed, density=0.8), rnd((k, c), seed + 1, density=0.8)
+        got = matmul_strassen(from_dense(spark, x), from_dense(spark, y), levels, (r, k), (k, c))
+        assert (to_dense(got, (r, c)) == x @ y).all()
