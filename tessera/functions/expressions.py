@@ -60,7 +60,8 @@ def halve(x) -> Column:
 
 
 def pow2(k) -> Column:
-    return F.shiftleft(F.lit(1).cast("bigint"), _c(k))
+    """2**k as BIGINT, for a column k (the SQL ``shiftleft`` takes a column shift)."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), _c(k).cast("int"))
 
 
 def padded_size(n: int, levels: int) -> int:

@@ -18,6 +18,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.expressions import pow2
 from tessera.operators.algebra import transpose
 from tessera.operators.blocks import matmul_block
 from tessera.operators.layout import shape_of
@@ -65,6 +66,11 @@ def generated_inputs(spark: SparkSession, sizes: list[int], seed: int = 0) -> li
              generate.uniform(spark, n, n, seed * 2 + 2), (n, n), (n, n)) for n in sizes]
 
 
+def sweep_sizes(spark: SparkSession, lo: int, hi: int) -> list[int]:
+    """[2**lo, ..., 2**hi] (hi - lo + 1 values, read back from a tiny range)."""
+    return [r["n"] for r in spark.range(lo, hi + 1).select(pow2("id").alias("n")).orderBy("n").collect()]
+
+
 def compare_strategies(spark: SparkSession, inputs: list, names: list[str] | None = None,
                        block_size: int = 256) -> DataFrame:
     rows = []
@@ -93,13 +99,18 @@ def main() -> None:
     ap = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     ap.add_argument("--sf-dir", default="/root/testdata/sf0.01")
     ap.add_argument("--sizes", type=int, nargs="*", default=[])
+    ap.add_argument("--pow2", type=int, nargs=2, metavar=("LO", "HI"), default=None,
+                    help="add sizes 2**LO .. 2**HI (the reference swept 3 .. 12)")
     ap.add_argument("--strategies", nargs="*", default=None)
     ap.add_argument("--block-size", type=int, default=256)
     ap.add_argument("--master", default=None)
     args = ap.parse_args()
     spark = get_session(args.master)
     spark.sparkContext.setLogLevel("ERROR")
-    inputs = table_inputs(spark, args.sf_dir) + generated_inputs(spark, args.sizes)
+    sizes = list(args.sizes)
+    if args.pow2:
+        sizes += sweep_sizes(spark, *args.pow2)
+    inputs = table_inputs(spark, args.sf_dir) + generated_inputs(spark, sizes)
     t = compare_strategies(spark, inputs, args.strategies, args.block_size)
     for r in side_by_side(t).collect():
         print(json.dumps(r.asDict()))
