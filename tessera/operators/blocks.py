@@ -58,17 +58,23 @@ def grid_for(nbi: int, nbk: int, nbj: int, b: int, tasks: int,
     return g, k
 
 
-def sum_blocks(df: DataFrame, keys: list[str], sign: str | None = None) -> DataFrame:
+def sum_blocks(df: DataFrame, keys: list[str], sign: str | None = None,
+               order: str | None = None) -> DataFrame:
     """Element-wise sum of the blocks sharing ``keys`` (optionally times ``sign``).
 
     Callers only use this where a key has a bounded number of blocks
-    (Strassen operands <= 2, results <= 4, K partials <= K), so collecting
-    them per key is bounded too. The fold runs in the JVM.
+    (Strassen operands <= 2, results <= 4, K partials <= 16 per round), so
+    collecting them per key is bounded too. The fold runs in the JVM, in the
+    order of the ``order`` column (distinct within a key), so a recomputed
+    task adds the same numbers in the same order.
     """
     blk = F.col("blk") if sign is None else F.transform("blk", lambda x: x * F.col(sign))
+    ordk = F.col(order) if order else F.lit(0)
     g = df.groupBy(*keys).agg(F.first("nr").alias("nr"), F.first("nc").alias("nc"),
-                              F.collect_list(blk).alias("bl"))
-    folded = F.aggregate(F.slice("bl", 2, 1 << 30), F.col("bl")[0],
+                              F.collect_list(F.struct(ordk.alias("o"), blk.alias("b"))).alias("e"))
+    bl = F.transform(F.array_sort("e", lambda x, y: F.when(x["o"] < y["o"], -1)
+                                  .when(x["o"] > y["o"], 1).otherwise(0)), lambda x: x["b"])
+    folded = F.aggregate(F.slice(bl, 2, 1 << 30), bl[0],
                          lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
     return g.select(*keys, "nr", "nc", folded.alias("blk"))
 
@@ -79,6 +85,10 @@ def _panel(group: list[str]):
         if a.empty or b.empty:
             return pd.DataFrame({c: pd.Series([], dtype=object if c == "blk" else "int64") for c in cols})
         gvals = [a[c].iloc[0] for c in group + ["kc"]]
+        # Fixed accumulation order (by inner block index), whatever order the
+        # shuffle delivered the rows in: a retried task gives identical sums.
+        a = a.sort_values(["bk", "bi"], kind="stable")
+        b = b.sort_values(["bk", "bj"], kind="stable")
         by_k: dict = {}
         for bk, bj, nr, nc, blk in zip(b["bk"], b["bj"], b["nr"], b["nc"], b["blk"]):
             by_k.setdefault(bk, []).append((bj, np.asarray(blk, dtype=np.float64).reshape(nr, nc)))
@@ -147,9 +157,11 @@ def tree_sum_blocks(df: DataFrame, keys: list[str], level: str, n: int, fan_in:
     blocks, however large n is.
     """
     while n > fan_in:
-        df = sum_blocks(df.withColumn(level, F.floor(F.col(level) / fan_in).cast("int")), keys + [level])
+        df = (df.withColumn("_o", F.col(level))
+                .withColumn(level, F.floor(F.col(level) / fan_in).cast("int")))
+        df = sum_blocks(df, keys + [level], order="_o")
         n = -(-n // fan_in)
-    return sum_blocks(df, keys)
+    return sum_blocks(df, keys, order=level)
 
 
 def default_tasks(spark: SparkSession) -> int:

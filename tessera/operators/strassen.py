@@ -181,8 +181,8 @@ def _strassen_blocks(a: DataFrame, b: DataFrame, levels: int, shape_a, shape_b,
                      local_index("bj", hc).alias("bj"), "nr", "nc",
                      F.col("blk").cast("array<double>").alias("blk"))
         j = s.join(F.broadcast(coeff), "q").select(
-            child_path("path", "m").alias("path"), "bi", "bj", "nr", "nc", "blk", "sgn")
-        return sum_blocks(j, ["path", "bi", "bj"], sign="sgn")
+            child_path("path", "m").alias("path"), "bi", "bj", "nr", "nc", "blk", "sgn", "q")
+        return sum_blocks(j, ["path", "bi", "bj"], sign="sgn", order="q")
 
     def up(p, hr, hc):
         x = p.select(path_parent("path").alias("parent"), path_m("path").alias("m"),
@@ -191,8 +191,8 @@ def _strassen_blocks(a: DataFrame, b: DataFrame, levels: int, shape_a, shape_b,
             F.col("parent").alias("path"),
             (F.col("bi") + quadrant_offset("q", hr, "row")).alias("bi"),
             (F.col("bj") + quadrant_offset("q", hc, "col")).alias("bj"),
-            "nr", "nc", "blk", "sgn")
-        return sum_blocks(j, ["path", "bi", "bj"], sign="sgn")
+            "nr", "nc", "blk", "sgn", "m")
+        return sum_blocks(j, ["path", "bi", "bj"], sign="sgn", order="m")
 
     left, right = root(a, shape_a), root(b, shape_b)
     for lvl in range(levels):
