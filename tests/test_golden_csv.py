@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import REF, to_dense
+from conftest import SAMPLE_DIR, to_dense
 from tessera.operators.blocks import matmul_block
 from tessera.operators.products import matmul_broadcast, matmul_join
 from tessera.operators.strassen import matmul_strassen
@@ -27,11 +27,11 @@ PRODUCT = {
     64: (663745384938537, 10367829208852, 147223798494),
 }
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(REF), reason="sample matrices not present")
+pytestmark = pytest.mark.skipif(not os.path.isdir(SAMPLE_DIR), reason="sample matrices not present")
 
 
 def _csv(spark, n, k):
-    return read_csv_matrix(spark, f"{REF}/matrix_{n}x{n}_{k}.csv")
+    return read_csv_matrix(spark, f"{SAMPLE_DIR}/matrix_{n}x{n}_{k}.csv")
 
 
 @pytest.mark.parametrize("n,k", sorted(LOAD))
