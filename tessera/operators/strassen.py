@@ -165,16 +165,31 @@ def matmul_strassen(a: DataFrame, b: DataFrame, levels: int = 1,
 
 def _strassen_blocks(a: DataFrame, b: DataFrame, levels: int, shape_a, shape_b,
                      bs: int, checkpoint_levels: bool) -> DataFrame:
-    spark = a.sparkSession
+    ab = cells_to_blocks(a, bs, shape_a, pad=True)
+    bb = cells_to_blocks(b, bs, shape_b, pad=True)
+    p = strassen_blocks(ab, bb, levels, bs, shape_a, shape_b, checkpoint_levels)
+    r, c = shape_a[0], shape_b[1]
+    ta, tb = dict(a.dtypes)["v"], dict(b.dtypes)["v"]
+    cast = "bigint" if ta in ("bigint", "int") and tb == ta else None
+    cells = blocks_to_cells(p, bs, cast=cast)
+    return cells.where((F.col("i") < r) & (F.col("j") < c))
+
+
+def strassen_blocks(ab: DataFrame, bb: DataFrame, levels: int, bs: int,
+                    shape_a: tuple[int, int], shape_b: tuple[int, int],
+                    checkpoint_levels: bool = False) -> DataFrame:
+    """Strassen on the BLOCKS layout: full ``bs x bs`` tiles in, tiles of C out.
+
+    Quadrants are whole tiles (the tile grid is padded virtually to a
+    multiple of 2**levels); leaves are grid block products. Tiles outside
+    the true shape may be present in the result and hold zeros.
+    """
+    spark = ab.sparkSession
     r, k, c = shape_a[0], max(shape_a[1], shape_b[0]), shape_b[1]
     nbr, nbk, nbc = -(-r // bs), -(-k // bs), -(-c // bs)
     pr, pk, pc = padded_size(nbr, levels), padded_size(nbk, levels), padded_size(nbc, levels)
     u, v, w = coefficient_frames(spark)
 
-    def root(x, shape):
-        blk = cells_to_blocks(x, bs, shape, pad=True)
-        return blk.select(F.lit(0).cast("bigint").alias("path"), "*")
-
     def down(x, coeff, hr, hc):
         q = quadrant("bi", "bj", hr, hc)
         s = x.select("path", q.alias("q"), local_index("bi", hr).alias("bi"),
@@ -194,7 +209,9 @@ def _strassen_blocks(a: DataFrame, b: DataFrame, levels: int, shape_a, shape_b,
             "nr", "nc", "blk", "sgn", "m")
         return sum_blocks(j, ["path", "bi", "bj"], sign="sgn", order="m")
 
-    left, right = root(a, shape_a), root(b, shape_b)
+    root = F.lit(0).cast("bigint").alias("path")
+    left = ab.select(root, "bi", "bj", "nr", "nc", "blk")
+    right = bb.select(root, "bi", "bj", "nr", "nc", "blk")
     for lvl in range(levels):
         hr, hk, hc = pr >> (lvl + 1), pk >> (lvl + 1), pc >> (lvl + 1)
         left = _cut(down(left, u, hr, hk), checkpoint_levels)
@@ -204,7 +221,4 @@ def _strassen_blocks(a: DataFrame, b: DataFrame, levels: int, shape_a, shape_b,
     p = block_product(left, right, grid_for(lr, lk, lc, bs, tasks), group=["path"])
     for lvl in reversed(range(levels)):
         p = _cut(up(p, pr >> (lvl + 1), pc >> (lvl + 1)), checkpoint_levels)
-    ta, tb = dict(a.dtypes)["v"], dict(b.dtypes)["v"]
-    cast = "bigint" if ta in ("bigint", "int") and tb == ta else None
-    cells = blocks_to_cells(p.drop("path"), bs, cast=cast)
-    return cells.where((F.col("i") < r) & (F.col("j") < c))
+    return p.drop("path")
