@@ -98,3 +98,13 @@ def test_bucketed_factors_join_without_shuffle(spark):
         assert (to_dense(c, (30, 25)) == to_dense(a, (30, 20)) @ to_dense(b, (20, 25))).all()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_category_index_is_a_dense_rank(spark):
+    from tessera.sources.tables import category_index
+    vals = ["v%03d" % (k * 7 % 101) for k in range(300)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "c STRING")
+    for parts in (1, 3, 16):
+        got = {r["c"]: r["j"] for r in category_index(df, "c", partitions=parts).collect()}
+        want = {v: n for n, v in enumerate(sorted({v for v in vals if v is not None}))}
+        assert got == want
