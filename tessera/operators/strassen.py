@@ -81,9 +81,11 @@ def divide(x: DataFrame, coeff: DataFrame, hr: int, hc: int,
     j = s.join(F.broadcast(coeff), "q").select(
         child_path("path", "m").alias("path"), "i", "j", (F.col("sgn") * F.col("v")).alias("v"))
     if cluster_by:
-        # By column only (no count): AQE may still coalesce small partitions,
-        # and does so for both join sides alike.
-        j = j.repartition(partitions, "path", cluster_by) if partitions else j.repartition("path", cluster_by)
+        # An explicit count on both sides (so they stay co-partitioned), not
+        # AQE's coalescing by input bytes: the leaf join expands every row.
+        spark = x.sparkSession
+        n = partitions or max(default_tasks(spark), spark.sparkContext.defaultParallelism)
+        j = j.repartition(n, "path", cluster_by)
     r = j.groupBy("path", "i", "j").agg(F.sum("v").alias("v"))
     return r.where(F.col("v") != 0)
 
