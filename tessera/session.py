@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app: str = "tessera") -> SparkSession:
+                app: str = "tessera", conf: dict | None = None) -> SparkSession:
     """A session with AQE on (runtime coalescing and skew-join splitting) and no UI.
 
     On a cluster the master and partition counts come from the submitter; the
@@ -31,6 +31,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (conf or {}).items():
+        b = b.config(k, str(v))
     # Local mode runs everything in the driver JVM, whose default heap is 1 GB;
     # on a cluster the submitter sizes driver and executors, not this code.
     mem = os.environ.get("TESSERA_DRIVER_MEMORY") or ("12g" if (master or "").startswith("local") else None)
