@@ -44,13 +44,18 @@ def read_cells(spark: SparkSession, path: str, value_type: str = "double") -> Da
 def read_unindexed_rows(spark: SparkSession, path: str, row: str = "row") -> DataFrame:
     """A row table written without an index (one record per row, in file order).
 
-    i = (rows in files with a smaller name) + position inside the file. The
-    per-file counts are one row per file; their running sum is the offset.
+    i = (rows in earlier files) + position inside the file, files in part
+    number order. The per-file counts are one row per file; their running sum
+    is the offset.
     """
     raw = spark.read.parquet(path).select(
         row, F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("ri"))
     counts = raw.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    offs = counts.select("f", (F.sum("n").over(Window.orderBy("f")) - F.col("n")).alias("off"))
+    # Spark numbers files part-00000, part-00001, ...; the width grows past
+    # 99999, so order by the number first and by name only to break ties.
+    num = F.regexp_extract("f", r"part-(\d+)", 1)
+    order = [F.when(num == "", None).otherwise(num.cast("bigint")), F.col("f")]
+    offs = counts.select("f", (F.sum("n").over(Window.orderBy(*order)) - F.col("n")).alias("off"))
     offs, _ = broadcast_if_small(offs, MAX_FILES)
     return raw.join(offs, "f").select((F.col("off") + F.col("ri")).cast("bigint").alias("i"),
                                       F.col(row).alias("row"))
