@@ -15,7 +15,7 @@ from tessera.operators.layout import (
     rows_to_cells, cells_to_rows, cells_to_blocks, blocks_to_cells, matrix_dims,
 )
 from tessera.operators.algebra import (
-    add, subtract, transpose, matrix_diff, union_tagged, drop_zeros,
+    add, subtract, transpose, matrix_diff, union_tagged, drop_zeros, canonical,
 )
 from tessera.operators.products import matmul_join, matmul_abt, matmul_broadcast
 from tessera.operators.blocks import matmul_block
@@ -25,7 +25,7 @@ from tessera.operators.dispatch import matmul
 __all__ = [
     "get_session", "shared_dir",
     "rows_to_cells", "cells_to_rows", "cells_to_blocks", "blocks_to_cells", "matrix_dims",
-    "add", "subtract", "transpose", "matrix_diff", "union_tagged", "drop_zeros",
+    "add", "subtract", "transpose", "matrix_diff", "union_tagged", "drop_zeros", "canonical",
     "matmul_join", "matmul_abt", "matmul_broadcast", "matmul_block", "matmul_strassen",
     "matmul",
 ]

@@ -13,6 +13,16 @@ def drop_zeros(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("v") != 0)
 
 
+def canonical(cells: DataFrame) -> DataFrame:
+    """Canonical CELLS: one row per (i, j) (duplicates summed), no zero cells.
+
+    Every operator here returns canonical cells; the layout conversions
+    (cells -> rows / tiles) expect them, so foreign input with repeated
+    coordinates should pass through this first.
+    """
+    return drop_zeros(cells.groupBy("i", "j").agg(F.sum("v").alias("v")))
+
+
 def _signed_sum(parts: list[tuple[DataFrame, int]]) -> DataFrame:
     u = None
     for df, sgn in parts:

@@ -192,3 +192,10 @@ def test_strassen_on_tiles(spark):
     c = blocks_to_cells(strassen_blocks(ab, bb, 1, 4, (10, 12), (12, 9)), 4, cast="bigint")
     got = to_dense(c.where("i < 10 and j < 9"), (10, 9))
     assert (got == x @ y).all()
+
+
+def test_canonical_sums_duplicates(spark):
+    from tessera.operators.algebra import canonical
+    df = spark.createDataFrame([(0, 0, 2), (0, 0, 3), (1, 1, 4), (1, 1, -4), (2, 0, 0)], "i BIGINT, j BIGINT, v BIGINT")
+    got = sorted(tuple(r) for r in canonical(df).collect())
+    assert got == [(0, 0, 5)]
