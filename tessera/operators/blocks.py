@@ -35,26 +35,34 @@ _BLOCK_FIELDS = "bi BIGINT, bj BIGINT, nr INT, nc INT, blk ARRAY<DOUBLE>"
 
 def grid_for(nbi: int, nbk: int, nbj: int, b: int, tasks: int,
              group_bytes: int = DEFAULT_GROUP_BYTES) -> tuple[int, int]:
-    """(G, K): about ``tasks`` groups, each with at most ``group_bytes`` of input.
-
-    G (copies of each input tile) is raised first, up to the number of block
-    rows / columns; the inner split K is used only where G alone cannot give
-    enough tasks or where a group would exceed the budget, since every extra
-    chunk adds one partial tile per output tile and a summing round.
+    """(G, K) for the grid product.
+
+    A group holds x = nb/G block rows (and columns) by y = nbk/K inner
+    blocks: 16*b*b*x*y bytes. Shuffle volume is 2*n*n*G for the copied
+    inputs plus n*n*K for the partial results, so under a fixed group size
+    it is least at x = 2y. When the budget does not bind (small inputs), G
+    is raised first for parallelism -- no partials, no summing round -- and
+    K only once G reaches the number of block rows.
     """
     gmax = max(nbi, nbj, 1)
-    g = max(1, min(gmax, int(math.ceil(math.sqrt(max(tasks, 1))))))
-    k = max(1, min(nbk, int(math.ceil(tasks / (g * g)))))
-
-    def mem(g_, k_):
-        kk = math.ceil(nbk / k_)
-        return 8 * b * b * kk * (math.ceil(nbi / g_) + math.ceil(nbj / g_))
-
-    while mem(g, k) > group_bytes and (k < nbk or g < gmax):
-        if k < nbk:
-            k = min(nbk, k * 2)
+    nbk = max(nbk, 1)
+    cap = max(group_bytes / (16.0 * b * b), 1.0)          # x * y, in tiles
+    y = max(1, int(math.sqrt(cap / 2)))
+    x = max(1, int(cap // y))
+    if x >= gmax:                                          # rows fit: give the inner side the rest
+        x = gmax
+        y = max(1, int(cap // x))
+    if y >= nbk:
+        y = nbk
+        x = min(gmax, max(1, int(cap // y)))
+    g = -(-gmax // x)
+    k = -(-nbk // y)
+    # parallelism: enough groups for the cluster
+    while g * g * k < tasks and (g < gmax or k < nbk):
+        if g < gmax:
+            g += 1
         else:
-            g = min(gmax, g * 2)
+            k = min(nbk, k * 2)
     return g, k
 
 
