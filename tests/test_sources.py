@@ -104,7 +104,10 @@ def test_category_index_is_a_dense_rank(spark):
     from tessera.sources.tables import category_index
     vals = ["v%03d" % (k * 7 % 101) for k in range(300)] + [None]
     df = spark.createDataFrame([(v,) for v in vals], "c STRING")
+    want = {v: n for n, v in enumerate(sorted({v for v in vals if v is not None}))}
     for parts in (1, 3, 16):
-        got = {r["c"]: r["j"] for r in category_index(df, "c", partitions=parts).collect()}
-        want = {v: n for n, v in enumerate(sorted({v for v in vals if v is not None}))}
-        assert got == want
+        d, small = category_index(df, "c", partitions=parts, small_limit=10)
+        assert not small
+        assert {r["c"]: r["j"] for r in d.collect()} == want
+    d, small = category_index(df, "c")
+    assert small and {r["c"]: r["j"] for r in d.collect()} == want
