@@ -111,3 +111,16 @@ def test_category_index_is_a_dense_rank(spark):
         assert {r["c"]: r["j"] for r in d.collect()} == want
     d, small = category_index(df, "c")
     assert small and {r["c"]: r["j"] for r in d.collect()} == want
+
+
+def test_csv_reader_line_endings_and_whitespace(spark):
+    """CRLF line ends, a trailing newline and spaces around commas read the same as clean text."""
+    from tessera.sources.io import read_csv_matrix
+    base = shared_dir(spark)
+    d = f"{base}/test-csv-{np.random.default_rng().integers(1 << 40)}"
+    import os
+    os.makedirs(d)
+    with open(f"{d}/m.csv", "w", newline="") as f:
+        f.write("0.12345, 0.50000,0.00001\r\n0.99999,0.10000 ,0.20000\r\n\r\n")
+    got = to_dense(read_csv_matrix(spark, f"{d}/m.csv"), (2, 3))
+    assert (got == np.array([[12345, 50000, 1], [99999, 10000, 20000]])).all()
