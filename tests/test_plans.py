@@ -72,3 +72,25 @@ def test_no_driver_collect_in_operators():
             for tok in ("first()", "count()"):
                 if tok in src.replace("F.count(", ""):
                     assert tok in allowed.get(f, []), (f, tok)
+
+
+def test_broadcast_only_below_the_checked_size(spark):
+    """Above the bound B is not broadcast: the product falls back to the shuffle join."""
+    import numpy as np
+    from conftest import from_dense, to_dense
+    from tessera.operators.joins import broadcast_if_small
+    from tessera.operators.products import matmul_broadcast
+    x = np.arange(1, 17, dtype=np.int64).reshape(4, 4)
+    a, b = from_dense(spark, x), from_dense(spark, x)
+    assert broadcast_if_small(b, 16)[1] and not broadcast_if_small(b, 15)[1]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = matmul_broadcast(a, b, max_cells=16)
+        big = matmul_broadcast(a, b, max_cells=15)
+        assert "BroadcastHashJoin" in plan(small)
+        assert "SortMergeJoin" in plan(big) and "BroadcastHashJoin" not in plan(big)
+        for c in (small, big):
+            assert (to_dense(c, (4, 4)) == x @ x).all()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
