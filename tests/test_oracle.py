@@ -39,3 +39,18 @@ def test_entry_smoke(spark):
     assert df.columns == ["i", "j", "v"]
     assert df.count() > 0
     assert os.path.isdir(SF001)
+
+
+SAME_TYPE = {("bigint", "BIGINT"), ("int", "INTEGER"), ("string", "VARCHAR"), ("double", "DOUBLE")}
+
+
+def test_column_names_and_types_match_oracle(spark, con):
+    """Spark output schema equals the DuckDB oracle's, column by column (names and types)."""
+    bad = {}
+    for name, sql in se.oracle_sql().items():
+        st = dict(se.queries()[name](spark, SF01).dtypes)
+        rel = con.sql(sql)
+        dt = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        if sorted(st) != sorted(dt) or any((st[c], dt[c]) not in SAME_TYPE for c in st):
+            bad[name] = (st, dt)
+    assert not bad, bad
