@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, quality_cascade, warc
+from tessera.llm import byte_bpe, decontaminate, line_templates, quality_cascade, toxicity, warc
 from tessera.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,8 +30,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade.apply(table(spark, sf_dir, "documents"))
 
 
-@query("op2_byte_bpe", """
-SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents""" if False else None)
+@query("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes, one row a document."""
     ranks = public_tokenizers.path(byte_bpe.RANKS)
@@ -39,17 +38,41 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(ids, ranks)
 
 
-@query("op8_warc", """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, html, sha1(html) AS h FROM p),
-f AS (SELECT h, min(page_id) AS first_id FROM d GROUP BY h)
-SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
-       upper(h) AS payload_sha1_hex
-FROM d JOIN f USING (h)""" if False else None)
+_SHINGLES = """
+SELECT DISTINCT {id}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+FROM (SELECT {id}, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+      FROM {table} WHERE text IS NOT NULL)"""
+
+
+@query("op3_decontaminate", f"""
+WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS s FROM d JOIN b USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_shingles, CAST(s AS BIGINT) AS n_shared FROM s JOIN n USING (item_id) WHERE 100 * s >= 80 * n""")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they contain, a row a pair."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("containment")
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores learnt from the other four folds, one row a document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_warc")
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back, one row a page."""
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.select(F.expr("try_cast(record_id AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
+
+
+@query("op10_line_templates")
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and dropped lines of each document, and a digest of what is kept."""
+    out = line_templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines_col="n_lines", n_dropped_col="n_dropped")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +19,6 @@ from tessera.session import shared_dir
 
 SHINGLE_WORDS = 5
 MAX_BATCH_BYTES = 16 << 20
-_CACHE_WORDS = 400_000
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -43,24 +28,82 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(word_hashes: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
+def _table(seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=seed) for i in range(256)], dtype=np.uint64)
+
+
+_BYTE = _table(1)
+_MULT = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULT, -1, 1 << 64)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Texts are hashed in blocks of about this many bytes, cut at white space.
+HASH_BLOCK = 1 << 20
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_MULT, _INVERSE)):
+            steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def _hash_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = np.frombuffer(raw, dtype=np.uint8)
+    up, down = _power_tables(len(b) + 1)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[b], [True])).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    sums = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[b] * down[:len(b)], out=sums[1:])
+    return mix64((sums[end] - sums[start]) * up[start] + (end - start).astype(np.uint64)), start, end
+
+
+def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of UTF-8 bytes, in order: a 64-bit hash (a polynomial over byte codes, read off prefix sums), start and end."""
+    if len(raw) <= HASH_BLOCK:
+        return _hash_block(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        cut = at + HASH_BLOCK
+        while cut < len(raw) and not _BLANK[raw[cut]]:
+            cut += 1
+        h, start, end = _hash_block(raw[at:cut])
+        parts.append((h, start + at, end + at))
+        at = cut
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    return word_spans(raw)[0]
+
+
+def shingle_hashes(words: np.ndarray, n: int = SHINGLE_WORDS) -> np.ndarray:
     """One hash per n-word shingle in text order; fewer words make one shingle of all; none make none."""
-    k = min(n, len(word_hashes))
+    k = min(n, len(words))
     if k == 0:
         return np.empty(0, dtype=np.uint64)
-    count = len(word_hashes) - k + 1
+    count = len(words) - k + 1
     acc = np.full(count, k, dtype=np.uint64)
     for d in range(k):
-        acc = (acc * _MULT) ^ mix64(word_hashes[d:d + count])
+        acc = acc * np.uint64(_MULT) + words[d:d + count]
     return mix64(acc)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").split()
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
+
 
+def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text with A-Z in lower case."""
+    return distinct(shingle_hashes(word_hashes(lower_bytes(text)), n))
 
-def lower_words(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+
+def lower_bytes(text: str | None) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass").lower()
 
 
 def small_slices(batch: pa.RecordBatch, limit: int = MAX_BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -72,18 +115,6 @@ def small_slices(batch: pa.RecordBatch, limit: int = MAX_BATCH_BYTES) -> Iterato
         yield batch.slice(at, step)
 
 
-def per_row(fn: Callable[[dict], dict], columns: list[str], schema: pa.Schema):
-    """A mapInArrow function: ``fn`` sees each slice's columns as lists and returns lists of output columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in small_slices(whole):
-                out = fn({c: batch.column(c).to_pylist() for c in columns})
-                yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in schema}, schema=schema)
-
-    return run
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

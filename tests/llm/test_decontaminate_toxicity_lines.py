@@ -1,0 +1,194 @@
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, line_templates, toxicity
+from tessera.llm.queries import QUERIES
+from tessera.llm.text import table
+
+SF, SF1 = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def brute_leaks(docs, items, threshold=80):
+    def grams(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    own = [(i, grams(t)) for i, t in items]
+    return Counter((d, i, len(g), len(g & x)) for d, t in docs for x in [grams(t)] for i, g in own if g and 100 * len(g & x) >= threshold * len(g))
+
+
+def pairs(df):
+    return Counter((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 700])
+def test_leaks_match_brute_force(spark, block):
+    docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    got = decontaminate.find(docs, items, block_bytes=block)
+    want = brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    assert pairs(got) == want and len(want) > 2
+
+
+def test_leaks_in_long_null_empty_short_and_repeated_texts(spark):
+    item = " ".join(WORDS)
+    filler = " ".join(f"w{i}" for i in range(60000))
+    rows = [(1, f"{filler} {item.upper()} {filler}"), (1, f"{filler} {item.upper()} {filler}"), (2, None), (3, ""), (4, " \n"), (5, "alpha beta"), (6, " ".join(WORDS[:18])),
+            (7, " ".join(WORDS[:16])), (8, " ".join(WORDS[:9] + ["x"] + WORDS[10:])), (None, item)]
+    items = [(10, item), (10, item), (11, "Alpha  beta"), (12, None), (13, ""), (14, "alpha beta gamma")]
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, leaks int, item_id string")
+    df = spark.createDataFrame(items, "item_id long, text string")
+    assert pairs(decontaminate.find(docs, df)) == brute_leaks(rows, items)
+    kept = decontaminate.clean(docs, df)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3, 4, 7, 8}
+    assert decontaminate.find(docs.where("false"), df).count() == 0 and decontaminate.clean(docs, df.where("false")).count() == len(rows)
+
+
+def test_query_equals_operator(spark):
+    assert pairs(QUERIES["op3_decontaminate"](spark, SF)) == brute_leaks([(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()],
+                                                                         [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()])
+
+
+# toxicity
+
+
+def test_toxicity_held_out_accuracy(spark):
+    out = QUERIES["op5_toxicity"](spark, SF1).cache()
+    docs = table(spark, SF1, "documents")
+    assert out.count() == docs.count()
+    rows = out.join(table(spark, SF1, "labels"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    own = [r for r in rows if r.held_out]
+    assert sum(r.predicted == r.toxic for r in own) >= 0.98 * len(own)
+    ranked = [(r.score, r.toxic) for r in own]
+    pos, neg = [s for s, y in ranked if y], [s for s, y in ranked if not y]
+    # some labels of junk are noise: their texts hold nothing that the labelled rows tell apart
+    assert sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) >= 0.9 * len(pos) * len(neg)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    bad = ["idiot", "stupid", "worthless"]
+    rnd = random.Random(3)
+    texts = [(i, " ".join(rnd.choices(WORDS, k=14)) + (f" {bad[i % 3]} tail" if i % 4 == 0 else f" tail w{i}")) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    return toxicity.fit(docs, labels)
+
+
+@pytest.mark.parametrize("text", ["you id1ot", "an 1d10t!", "i d i o t", "such an i.d.i.o.t.", "$tupid", "stuuuupid", "w0rthle$s", "WORTHLESS", "st-u-p-i-d"])
+def test_toxicity_reads_through_disguise(model, text):
+    assert model.scorer()(text) >= 0.5
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "alpha beta", "1 2 3 4 5", "a | b | c | d", "10.0.0.1", "id", "!!!", "@@@@ $$$$"])
+def test_toxicity_leaves_clean_text(model, text):
+    assert model.scorer()(text) < 0.5
+
+
+def test_toxicity_odd_tables(spark, model):
+    rows = [(1, None, 1.0, "s"), (2, "", 1.0, "s"), (2, "", 1.0, "s"), (None, "idiot", 1.0, "s"), (4, "i " * 50000, 1.0, "s"), (5, "1d10t" * 5000, 1.0, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, s string")
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == 6 and [r.score >= 0.5 for r in out if r.doc_id is None] == [True]
+    assert toxicity.score(docs.where("false"), model).count() == 0
+    none = toxicity.fit(docs.where("false"), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
+
+
+def test_viterbi_finds_the_cheapest_reading(model):
+    lm = toxicity.CharModel(model.counts)
+
+    def cost(s):
+        c = [0, 0, *(toxicity.CODE.get(x, 0) for x in s), 0]
+        return sum(lm.cost[c[i], c[i + 1], c[i + 2]] for i in range(len(c) - 2))
+
+    spelt = ["idiot", "ldiot", "idlot", "ldlot"]
+    assert lm.restore("1d1ot") == min(spelt, key=cost)
+
+
+# line templates
+
+
+def brute_lines(rows, min_docs=10):
+    lead = line_templates.LEAD
+
+    def toks(line):
+        return tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
+
+    parsed = []
+    for d, t in rows:
+        own = [(k, toks(x)) for k, x in enumerate((t or "").split("\n"))]
+        own = [(k, x) for k, x in own if x]
+        for i, (k, x) in enumerate(own):
+            ctx = (own[i - 1][1] if i else None, own[i + 1][1] if i + 1 < len(own) else None)
+            parsed.append((d, k, (len(x), x[:lead]), x, ctx))
+
+    def recurring(seen):
+        n_docs, ctxs, first = defaultdict(set), defaultdict(set), {}
+        for key, d, c in seen:
+            n_docs[key].add(d)
+            ctxs[key].add(c)
+        return {k for k in n_docs if len(n_docs[k]) >= min_docs and len(ctxs[k]) >= min_docs and 4 * len(ctxs[k]) >= len(n_docs[k])}
+
+    exact = recurring((x, d, c) for d, _, _, x, c in parsed)
+    leaves = recurring((f, d, c) for d, _, f, _, c in parsed)
+    by_leaf = defaultdict(list)
+    for d, k, f, x, c in parsed:
+        if f in leaves:
+            by_leaf[f].append((d, x, c))
+    general = {}
+    for f, own in by_leaf.items():
+        template = []
+        for p in range(f[0]):
+            token, n = Counter(x[p] for _, x, _ in own).most_common(1)[0]
+            template.append(token if 2 * n >= len(own) and token != "<*>" else None)
+        const = sum(t is not None for t in template)
+        if const >= 4 and 100 * const >= line_templates.MIN_CONSTANT * f[0] and const < f[0] and len({x for _, x, _ in own}) > 1:
+            general[f] = template
+    def fits(f, x):
+        return f in general and all(t is None or t == w for t, w in zip(general[f], x))
+    again = recurring((f, d, c) for d, k, f, x, c in parsed if fits(f, x))
+    drop = {(d, k) for d, k, f, x, c in parsed if x in exact or f in again and fits(f, x)}
+    return [(d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in drop)) for d, t in rows], drop
+
+
+def log_rows():
+    rows = []
+    for i in range(40):
+        w = WORDS[i % 20]
+        rows.append((i, f"Header of site {i * 37}\nown text {w} number{'x' * i} here\nthe user account {w}{'q' * (i // 20)} has logged in from the office today\n\nlast {'y' * (i + 1)}"))
+    rows += [(100 + i, "Copied first line of all\nCopied second line of all\nCopied third line of all") for i in range(60)]
+    return rows + [(200, None), (201, ""), (202, "\n \n"), (203, "word " * 20000), (None, "Header of site 5\nlonely"), (205, "dup\ndup\ndup")]
+
+
+def test_lines_match_brute_force(spark):
+    want, drop = brute_lines(log_rows())
+    assert len(drop) >= 80 and not any(d is not None and 100 <= d < 200 for d, _ in drop)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in log_rows()], "doc_id long, text string, line string, n_dropped int")
+    out = line_templates.drop_lines(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+    counts = line_templates.drop_lines(docs, n_lines_col="n_lines", n_dropped_col="n_dropped").collect()
+    assert sum(r.n_dropped for r in counts) == len(drop) and {r.n_lines for r in counts if r.doc_id in (200, 201, 202)} == {0}
+
+
+def test_lines_match_brute_force_on_documents(spark):
+    docs = table(spark, SF, "documents")
+    want, drop = brute_lines([(r.doc_id, r.text) for r in docs.collect()], 4)
+    assert sorted((r.doc_id, r.text) for r in line_templates.drop_lines(docs, min_docs=4).collect()) == sorted(want) and drop
+
+
+def test_lines_empty_table(spark):
+    assert line_templates.drop_lines(table(spark, SF, "documents").where("false")).count() == 0
+
+
+def test_lines_query(spark):
+    out = QUERIES["op10_line_templates"](spark, SF)
+    assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"] and out.count() == 200
