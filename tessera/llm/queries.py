@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, line_templates, quality_cascade, toxicity, warc
+from tessera.llm import byte_bpe, decontaminate, jaccard_join, line_templates, quality_cascade, toxicity, warc
 from tessera.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op7_jaccard_join", f"""
+WITH RECURSIVE d AS ({_SHINGLES.format(id="doc_id", table="documents")}), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+s AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS s FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY x, y),
+l AS (SELECT x, y FROM s JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * s >= 80 * (a.n + b.n - s)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT x AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(y) AS component_id FROM r LEFT JOIN n ON doc_id = x GROUP BY x""")
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of near-duplicate links, one row a document."""
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 @query("op8_warc")
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back, one row a page."""
