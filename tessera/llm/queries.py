@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, jaccard_join, line_templates, quality_cascade, toxicity, warc
+from tessera.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, line_templates, quality_cascade, toxicity, warc
 from tessera.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op6_hmm_lm")
+def op6_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and hidden Markov log10 probabilities, one row a document."""
+    return hmm_lm.score(table(spark, sf_dir, "documents"))
+
+
 @query("op7_jaccard_join", f"""
 WITH RECURSIVE d AS ({_SHINGLES.format(id="doc_id", table="documents")}), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
 s AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS s FROM d a JOIN d b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY x, y),
