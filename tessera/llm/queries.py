@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, decontaminate, hmm_lm, jaccard_join, line_templates, quality_cascade, toxicity, warc
+from tessera.llm import byte_bpe, cdc_dedup, decontaminate, hmm_lm, jaccard_join, line_templates, quality_cascade, toxicity, warc
 from tessera.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.expr("try_cast(refers_to AS bigint)").alias("refers_to"))
 
 
+@query("op9_cdc_dedup")
+def op9_cdc_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, repeats and removed bytes of each document, and a digest of what is kept."""
+    out = cdc_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), stats=True)
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_repeats", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_line_templates")
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and dropped lines of each document, and a digest of what is kept."""
