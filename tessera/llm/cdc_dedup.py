@@ -77,6 +77,7 @@ def _raw(text: str | None) -> bytes:
 
 def _chunks(rows: DataFrame) -> DataFrame:
     """(hi, lo, doc, key, place, repeat) of chunks: the least of equal ones in a task, and those it found to repeat."""
+    limit = HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple] = {}
@@ -107,7 +108,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
                             if mine < other:
                                 held[digest], mine = mine, other
                             repeats.append(mine)
-                if len(held) + len(repeats) > HELD:
+                if len(held) + len(repeats) > limit:
                     yield flush()
         yield flush()
 
