@@ -55,7 +55,7 @@ MEMBERS = 512
 MAX_BROADCAST = 1 << 20
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if it is proven small; Spark shuffles it otherwise."""
     return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
 
@@ -252,7 +252,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: int, e
     own = sizes.select("centre", F.col("centre").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     asked = rows.unionByName(own).join(reps, "node").groupBy("doc").agg(F.collect_list(F.struct("centre", "node", "part")).alias("asked"))
     asked = materialize(asked, "asked")
-    texts = docs.join(_small(asked), "doc").select("text", "asked")
+    texts = docs.join(small(asked), "doc").select("text", "asked")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -305,9 +305,9 @@ def links(docs: DataFrame, nodes: DataFrame, frequent, n: int, t: int) -> DataFr
     led = materialize(rows.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "led")
     first = materialize(verify(led, reps, docs, n, t), "links")
     label = materialize(components(first), "components")
-    own = rows.select("gram", "node", "size", "pos").join(_small(label), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = rows.select("gram", "node", "size", "pos").join(small(label), "node", "left").withColumn("label", F.coalesce("label", "node"))
     done = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(other_pairs(own, t).join(_small(done), ["a", "b"], "left_anti"), "pairs")
+    rest = materialize(other_pairs(own, t).join(small(done), ["a", "b"], "left_anti"), "pairs")
     near = materialize(verify(rest, reps, docs, n, t, exact=False), "near")
     return first.unionByName(verify(near, reps, docs, n, t))
 
@@ -325,9 +325,9 @@ def join_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     found = links(docs, nodes, frequent, n, threshold)
     # sets of rows with the same id
     same = nodes.where("node IS NOT NULL").groupBy("doc").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    found = found.unionByName(nodes.join(_small(same), "doc").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    found = found.unionByName(nodes.join(small(same), "doc").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
     label = materialize(components(found), "components")
-    labelled = rows.join(_small(label), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = rows.join(small(label), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("doc").alias("least")).where("label IS NOT NULL")
     out = labelled.join(least, "label", "left").withColumn("component", F.when(F.col("doc").isNotNull(), F.coalesce("least", "doc")))
     return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -31,66 +31,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.llm.text import distinct, materialize, mix64, small_slices, word_spans
+from tessera.llm.text import distinct, materialize, small_slices
 
 LEAD = 3
 MIN_DOCS = 10
 MIN_CONSTANT = 60
 BLOCK = 1 << 21
-_FIELD = np.uint64(0x5BF0363D)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_DIGIT = np.isin(np.arange(256), range(48, 58))
-
-
-def parse(raw: bytes) -> dict[str, np.ndarray]:
-    """Of each line with a word: number, first token, token count, leaf, exact template, context; and all tokens."""
-    tokens, start, end = word_spans(raw)
-    b = np.frombuffer(raw, dtype=np.uint8)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[b])))
-    tokens = np.where(digits[end] > digits[start], _FIELD, tokens)
-    line_of = np.searchsorted(np.flatnonzero(b == 10), start)
-    first = np.flatnonzero(np.diff(line_of, prepend=-1))
-    count = np.diff(first, append=len(tokens))
-    place = np.arange(len(tokens)) - np.repeat(first, count)
-    leaf = count.astype(np.uint64)
-    for d in range(LEAD):
-        at = np.minimum(first + d, len(tokens) - 1)
-        leaf = mix64(leaf * _STEP + np.where(count > d, tokens[at] if len(tokens) else leaf, np.uint64(0)))
-    exact = mix64(np.add.reduceat(mix64(tokens + place.astype(np.uint64) * _STEP), first) if len(first) else leaf) ^ leaf
-    around = np.concatenate(([0], exact, [0])).astype(np.uint64)
-    context = mix64(around[:-2] * _STEP + mix64(around[2:]))
-    return {"line": line_of[first], "first": first, "count": count, "leaf": leaf, "exact": exact, "context": context, "tokens": tokens}
+_DIGITS = b"0123456789"
+_FIELD = b"<*>"
+_MASK = (1 << 64) - 1
+
+
+def _hash(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+FIELD = _hash(_FIELD)
+
+
+def masked(line: bytes) -> list[bytes]:
+    """A line's tokens, those that hold a digit as variable fields."""
+    tokens = line.split()
+    if len(line.translate(None, _DIGITS)) != len(line):
+        tokens = [t if len(t.translate(None, _DIGITS)) == len(t) else _FIELD for t in tokens]
+    return tokens
+
+
+class Line:
+    """A line with a word: its number, masked tokens, the hashes of its leaf and exact template."""
+
+    __slots__ = ("number", "tokens", "leaf", "exact")
+
+    def __init__(self, number: int, tokens: list[bytes]):
+        self.number, self.tokens = number, tokens
+        self.leaf = _hash(b"%d " % len(tokens) + b" ".join(tokens[:LEAD]))
+        self.exact = _hash(b" ".join(tokens))
+
+    def hashes(self) -> list[int]:
+        return list(map(_hash, self.tokens))
+
+
+def parse(raw: bytes) -> list[Line]:
+    return [Line(i, tokens) for i, line in enumerate(raw.split(b"\n")) if (tokens := masked(line))]
+
+
+def contexts(lines: list[Line]) -> list[int]:
+    """A hash of the templates before and after each line."""
+    around = [0, *(x.exact for x in lines), 0]
+    return [_hash(b"%d %d" % (a, b)) for a, b in zip(around, around[2:])]
 
 
 def _raw(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def _member(of: np.ndarray, values: list[int]) -> np.ndarray:
+    """Which values are in a sorted array."""
+    v = np.array(values, dtype=np.int64)
+    if not len(of) or not len(v):
+        return np.zeros(len(v), dtype=bool)
+    return of[np.minimum(np.searchsorted(of, v), len(of) - 1)] == v
+
+
 def _lines(docs: DataFrame, leaves=None) -> DataFrame:
     """leaf, exact, doc, context of each line; with ``leaves`` (a broadcast sorted array) of their lines alone, with tokens."""
-    with_tokens = leaves is not None
+    kinds = [pa.int64()] * 4 + ([pa.list_(pa.int64())] if leaves is not None else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in small_slices(whole):
-                got = []
+            for b in small_slices(whole, 4 << 20):
+                rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    x = parse(_raw(text))
-                    use = np.isin(x["leaf"], leaves.value) if with_tokens else slice(None)
-                    cols = [x["leaf"][use], x["exact"][use], np.full(len(x["leaf"][use]), doc, dtype=np.int64), x["context"][use]]
-                    if with_tokens:
-                        cols.append([x["tokens"][f:f + n].view(np.int64) for f, n in zip(x["first"][use], x["count"][use])])
-                    got.append(cols)
-                out = [pa.array(np.concatenate(c).view(np.int64)) for c in list(zip(*got))[:4]]
-                if with_tokens:
-                    out.append(pa.array([t for g in got for t in g[4]], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(out, names=["leaf", "exact", "doc", "context", "tokens"][:len(out)])
+                    lines = parse(_raw(text))
+                    if leaves is None:
+                        rows += [(x.leaf, x.exact, doc, c) for x, c in zip(lines, contexts(lines))]
+                    elif (use := _member(leaves.value, [x.leaf for x in lines])).any():
+                        rows += [(x.leaf, x.exact, doc, c, x.hashes()) for x, c, u in zip(lines, contexts(lines), use) if u]
+                cols = list(zip(*rows)) or [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["leaf", "exact", "doc", "context", "tokens"][:len(kinds)])
 
-    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, context bigint" + ", tokens array<bigint>" * with_tokens)
+    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, context bigint" + ", tokens array<bigint>" * (leaves is not None))
 
 
 def _recurring(seen: DataFrame, key: str, min_docs: int) -> DataFrame:
@@ -101,13 +125,15 @@ def _recurring(seen: DataFrame, key: str, min_docs: int) -> DataFrame:
             .where(f"n_docs >= {min_docs} AND n_contexts >= {min_docs} AND 4 * n_contexts >= n_docs").select(key))
 
 
-def _blocks(df: DataFrame, key: str) -> Iterator:
-    """The distinct keys of a small table, sorted, in broadcast blocks of bounded size."""
-    n = max(1, -(-df.count() // BLOCK))
+def _blocks(df: DataFrame, key: str, n: int) -> Iterator:
+    """The distinct keys of a table, sorted, in n broadcast blocks."""
     for k in range(n):
         part = df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).select(key).toArrow().column(0).to_numpy()
-        if len(part):
-            yield df.sparkSession.sparkContext.broadcast(distinct(part.astype(np.int64).view(np.uint64)))
+        yield df.sparkSession.sparkContext.broadcast(distinct(part.astype(np.int64)))
+
+
+def _count_blocks(rows: int, size: int) -> int:
+    return max(1, -(-rows // size))
 
 
 def generalise(lines: DataFrame) -> DataFrame:
@@ -115,7 +141,7 @@ def generalise(lines: DataFrame) -> DataFrame:
     sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"))
     cells = lines.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n"))
     top = cells.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"))
-    constant = F.when((2 * F.col("top.n") >= F.col("n_lines")) & (F.col("top.token") != F.lit(int(_FIELD))), F.col("top.token"))
+    constant = F.when((2 * F.col("top.n") >= F.col("n_lines")) & (F.col("top.token") != F.lit(FIELD)), F.col("top.token"))
     # a line's tokens bound the positions of a leaf
     rows = top.join(sizes, "leaf").select("leaf", F.struct("pos", constant.alias("token")).alias("cell"))
     made = rows.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list("cell")), lambda c: c["token"]).alias("template"))
@@ -135,7 +161,8 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[Data
               .join(lines.groupBy("leaf").agg((F.min("exact") != F.max("exact")).alias("varies")).where("varies"), "leaf", "left_semi"))
     leaves = materialize(leaves, "leaves")
     made = None
-    for block in _blocks(leaves, "leaf"):
+    n_leaves = leaves.count()
+    for block in _blocks(leaves, "leaf", _count_blocks(n_leaves, BLOCK)) if n_leaves else ():
         varied = materialize(_lines(docs, block), "leaf-lines")
         templates = materialize(generalise(varied), "templates")
         of = varied.join(templates, "leaf").where(_matches())
@@ -151,46 +178,42 @@ def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """All rows and columns of ``docs``, the text without the lines of recurring templates; with counts if columns are named."""
     narrow = docs.select(F.coalesce(F.xxhash64(F.col(f"`{id_col}`")), F.lit(0)).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     exact, general = recurring_templates(narrow, min_docs)
-    extra = [n_lines_col, n_dropped_col]
-    out = docs.drop(*[c for c in extra if c]).withColumns({"__text": F.col(f"`{text_col}`"), "__drop": F.array().cast("array<int>")})
-    n = max(1, -(-general.count() // (BLOCK >> 5)))
-    blocks = [(x, None) for x in _blocks(exact, "exact")]
-    for k in range(n):
+    n = max(_count_blocks(exact.count(), BLOCK), _count_blocks(general.count(), BLOCK >> 5))
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    at, spark = docs.columns.index(text_col), docs.sparkSession
+    out = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string")).withColumn("drop", F.array().cast("array<int>"))
+
+    for k, same in enumerate(_blocks(exact, "exact", n)):  # every block but the last notes lines to drop, the last drops them
         rows = general.where(F.pmod(F.xxhash64("leaf"), F.lit(n)) == k).collect()
-        if rows:
-            blocks.append((None, docs.sparkSession.sparkContext.broadcast({r.leaf: [-1 if t is None else t for t in r.template] for r in rows})))
-    at = len(out.columns) - 2
+        like = spark.sparkContext.broadcast({r.leaf: r.template for r in rows})
+        final = k == n - 1
+
+        def run(batches: Iterator[pa.RecordBatch], same=same, like=like, final=final) -> Iterator[pa.RecordBatch]:
+            templates = like.value
 
-    for same, like in blocks:
+            def general_hit(x: Line) -> bool:
+                return (t := templates.get(x.leaf)) is not None and all(c is None or c == h for c, h in zip(t, x.hashes()))
 
-        def run(batches: Iterator[pa.RecordBatch], same=same, like=like) -> Iterator[pa.RecordBatch]:
-            templates = {} if like is None else {np.uint64(k & (1 << 64) - 1): np.array(t, dtype=np.int64).view(np.uint64) for k, t in like.value.items()}
-            free = np.uint64((1 << 64) - 1)
             for whole in batches:
-                for b in small_slices(whole):
-                    drops = b.column(at + 1).to_pylist()
-                    for i, text in enumerate(b.column(at).to_pylist()):
-                        x = parse(_raw(text))
-                        if same is not None:
-                            hit = np.isin(x["exact"], same.value)
-                        else:
-                            hit = np.zeros(len(x["leaf"]), dtype=bool)
-                            for j, leaf in enumerate(x["leaf"]):
-                                if (t := templates.get(leaf)) is not None:
-                                    own = x["tokens"][x["first"][j]:x["first"][j] + x["count"][j]]
-                                    hit[j] = len(own) == len(t) and bool(np.all((t == free) | (t == own)))
-                        drops[i] = sorted({*drops[i], *x["line"][hit].tolist()})
-                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(drops, pa.list_(pa.int32()))], names=b.schema.names)
-
-        out = out.mapInArrow(run, T.StructType(out.schema.fields))
-    # the kept lines, put together by Spark: line numbers are positions in the split text
-    split = F.split(F.col("__text"), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    whole = F.when(F.size("__drop") == 0, F.col("__text")).otherwise(kept)
-    out = out.withColumn(text_col, whole.cast(docs.schema[text_col].dataType))
-    if n_lines_col:
-        has_word = F.filter(split, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-        out = out.withColumn(n_lines_col, F.when(F.col("__text").isNull(), F.lit(0)).otherwise(F.size(has_word)).cast("bigint"))
-    if n_dropped_col:
-        out = out.withColumn(n_dropped_col, F.size("__drop").cast("bigint"))
-    return out.drop("__text", "__drop")
+                for b in small_slices(whole, 4 << 20):
+                    texts, drops, counts = b.column(at).to_pylist(), b.column(len(names)).to_pylist(), []
+                    for i, text in enumerate(texts):
+                        lines = parse(_raw(text))
+                        hit = _member(same.value, [x.exact for x in lines])
+                        found = {x.number for x, h in zip(lines, hit) if h or templates and general_hit(x)}
+                        drops[i] = sorted(found.union(drops[i]))
+                        counts.append(len(lines))
+                        if final and drops[i]:
+                            gone = set(drops[i])
+                            texts[i] = "\n".join([x for j, x in enumerate(text.split("\n")) if j not in gone])
+                    cols = [*b.columns[:-1], pa.array(drops, pa.list_(pa.int32()))]
+                    if final:
+                        cols[at] = pa.array(texts, pa.string())
+                        cols[-1:] = [pa.array(counts, pa.int64()), pa.array(list(map(len, drops)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*names, *(["n", "gone"] if final else ["drop"])])
+
+        spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields[:-1])
+        out = out.mapInArrow(run, spec + (", n bigint, gone bigint" if final else ", drop array<int>"))
+    more = [c for c in (n_lines_col, n_dropped_col) if c]
+    return out.select(*[F.col(k).cast(f.dataType).alias(f.name) for k, f in zip(names, docs.schema) if f.name not in more],
+                      *[F.col(x).alias(c) for x, c in (("n", n_lines_col), ("gone", n_dropped_col)) if c])
