@@ -7,7 +7,8 @@ indices (never by row or arrival order):
 * ROWS   ``(i BIGINT, row ARRAY<T>)``          -- the stored row table
 * BLOCKS ``(bi, bj BIGINT, nr, nc INT, blk ARRAY<T>)`` -- dense row-major tiles
 
-Every operator returns a lazy DataFrame; nothing passes through the driver.
+Operators return lazy DataFrames and pass no matrix through the driver. Some run small jobs while
+they build a plan: sizes, value ranges and bounded counts, one aggregate row each.
 """
 
 from tessera.session import get_session, shared_dir
@@ -17,10 +18,10 @@ from tessera.operators.layout import (
 from tessera.operators.algebra import (
     add, subtract, transpose, matrix_diff, union_tagged, drop_zeros, canonical,
 )
-from tessera.operators.products import matmul_join, matmul_abt, matmul_broadcast
+from tessera.operators.products import matmul_join, matmul_broadcast
 from tessera.operators.blocks import matmul_block
 from tessera.operators.strassen import matmul_strassen
-from tessera.operators.dispatch import matmul
+from tessera.operators.dispatch import matmul, matmul_abt
 
 __all__ = [
     "get_session", "shared_dir",

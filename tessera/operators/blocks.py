@@ -26,38 +26,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.layout import blocks_to_cells, cells_to_blocks, shape_of
+from tessera.operators.layout import blocks_to_cells, cells_to_blocks, stats_of
 
 DEFAULT_GROUP_BYTES = 256 << 20
 
-_BLOCK_FIELDS = "bi BIGINT, bj BIGINT, nr INT, nc INT, blk ARRAY<DOUBLE>"
+_BLOCK_FIELDS = "bi BIGINT, bj BIGINT, nr INT, nc INT, blk ARRAY<{t}>"
 
 
 def grid_for(nbi: int, nbk: int, nbj: int, b: int, tasks: int,
              group_bytes: int = DEFAULT_GROUP_BYTES) -> tuple[int, int]:
     """(G, K) for the grid product.
 
-    A group holds x = nb/G block rows (and columns) by y = nbk/K inner
-    blocks: 16*b*b*x*y bytes. Shuffle volume is 2*n*n*G for the copied
-    inputs plus n*n*K for the partial results, so under a fixed group size
-    it is least at x = 2y. When the budget does not bind (small inputs), G
-    is raised first for parallelism -- no partials, no summing round -- and
-    K only once G reaches the number of block rows.
+    A group holds x = ceil(nb/G) block rows (and columns) by y = ceil(nbk/K)
+    inner blocks as input and, however small the inner side is, x by x output
+    tiles, which exist twice while they are returned. Both count against the
+    budget. Shuffle volume is 2*n*n*G for the copied inputs plus n*n*K for the
+    partial results, so G is kept small first; for parallelism G is raised
+    before K, as it makes no partials and no summing round.
     """
-    gmax = max(nbi, nbj, 1)
-    nbk = max(nbk, 1)
-    cap = max(group_bytes / (16.0 * b * b), 1.0)          # x * y, in tiles
-    y = max(1, int(math.sqrt(cap / 2)))
-    x = max(1, int(cap // y))
-    if x >= gmax:                                          # rows fit: give the inner side the rest
-        x = gmax
-        y = max(1, int(cap // x))
-    if y >= nbk:
-        y = nbk
-        x = min(gmax, max(1, int(cap // y)))
+    nbi, nbk, nbj = max(nbi, 1), max(nbk, 1), max(nbj, 1)
+    gmax = max(nbi, nbj)
+    cap = max(group_bytes / (8.0 * b * b), 1.0)            # tiles
+    x = max(1, int(math.sqrt(cap / 4)))                    # half of it for the output
+    x = min(gmax, x)
+    y = max(1, int((cap - 2 * min(x, nbi) * min(x, nbj)) // max(1, min(x, nbi) + min(x, nbj))))
     g = -(-gmax // x)
-    k = -(-nbk // y)
-    # parallelism: enough groups for the cluster
+    k = -(-nbk // min(y, nbk))
     while g * g * k < tasks and (g < gmax or k < nbk):
         if g < gmax:
             g += 1
@@ -66,6 +60,12 @@ def grid_for(nbi: int, nbk: int, nbj: int, b: int, tasks: int,
     return g, k
 
 
+def group_tiles(nbi: int, nbk: int, nbj: int, g: int, k: int) -> int:
+    """Tiles that the largest group of a (G, K) grid holds: inputs, and outputs twice."""
+    xi, xj, y = -(-nbi // g), -(-nbj // g), -(-nbk // k)
+    return (xi + xj) * y + 2 * xi * xj
+
+
 def sum_blocks(df: DataFrame, keys: list[str], sign: str | None = None,
                order: str | None = None) -> DataFrame:
     """Element-wise sum of the blocks sharing ``keys`` (optionally times ``sign``).
@@ -87,7 +87,7 @@ def sum_blocks(df: DataFrame, keys: list[str], sign: str | None = None,
     return g.select(*keys, "nr", "nc", folded.alias("blk"))
 
 
-def _panel(group: list[str]):
+def _panel(group: list[str], dtype: str):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = group + ["bi", "bj", "nr", "nc", "blk", "kc"]
         if a.empty or b.empty:
@@ -99,13 +99,13 @@ def _panel(group: list[str]):
         b = b.sort_values(["bk", "bj"], kind="stable")
         by_k: dict = {}
         for bk, bj, nr, nc, blk in zip(b["bk"], b["bj"], b["nr"], b["nc"], b["blk"]):
-            by_k.setdefault(bk, []).append((bj, np.asarray(blk, dtype=np.float64).reshape(nr, nc)))
+            by_k.setdefault(bk, []).append((bj, np.asarray(blk, dtype=dtype).reshape(nr, nc)))
         acc: dict = {}
         for bi, bk, nr, nc, blk in zip(a["bi"], a["bk"], a["nr"], a["nc"], a["blk"]):
             rhs = by_k.get(bk)
             if not rhs:
                 continue
-            x = np.asarray(blk, dtype=np.float64).reshape(nr, nc)
+            x = np.asarray(blk, dtype=dtype).reshape(nr, nc)
             for bj, y in rhs:
                 p = x @ y
                 key = (bi, bj)
@@ -129,8 +129,11 @@ def _panel(group: list[str]):
 
 
 def block_product(a: DataFrame, b: DataFrame, grid: tuple[int, int],
-                  group: list[str] | None = None) -> DataFrame:
-    """BLOCKS x BLOCKS -> BLOCKS (double), optionally per extra key columns ``group``.
+                  group: list[str] | None = None, value: str = "double") -> DataFrame:
+    """BLOCKS x BLOCKS -> BLOCKS of ``value``, optionally per extra key columns ``group``.
+
+    ``value='bigint'`` multiplies 64-bit integer tiles; the caller has checked
+    that no sum can reach 2**63.
 
     ``a`` has group + (bi, bj, nr, nc, blk) with bj the inner block index;
     ``b`` the same with bi the inner index.
@@ -138,9 +141,9 @@ def block_product(a: DataFrame, b: DataFrame, grid: tuple[int, int],
     group = group or []
     g, k = grid
     av = a.select(*group, "bi", F.col("bj").alias("bk"), "nr", "nc",
-                  F.col("blk").cast("array<double>").alias("blk"))
+                  F.col("blk").cast(f"array<{value}>").alias("blk"))
     bv = b.select(*group, F.col("bi").alias("bk"), "bj", "nr", "nc",
-                  F.col("blk").cast("array<double>").alias("blk"))
+                  F.col("blk").cast(f"array<{value}>").alias("blk"))
     av = (av.withColumn("gi", F.pmod("bi", F.lit(g)).cast("int"))
             .withColumn("kc", F.pmod("bk", F.lit(k)).cast("int"))
             .withColumn("gj", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))))
@@ -149,9 +152,9 @@ def block_product(a: DataFrame, b: DataFrame, grid: tuple[int, int],
             .withColumn("gi", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))))
     keys = group + ["gi", "gj", "kc"]
     gschema = ", ".join(f"{c} BIGINT" for c in group)
-    schema = (gschema + ", " if gschema else "") + _BLOCK_FIELDS + ", kc INT"
+    schema = (gschema + ", " if gschema else "") + _BLOCK_FIELDS.format(t=value.upper()) + ", kc INT"
     part = (av.groupBy(*keys).cogroup(bv.groupBy(*keys))
-              .applyInPandas(_panel(group), schema))
+              .applyInPandas(_panel(group, {"double": "float64", "bigint": "int64"}[value]), schema))
     if k == 1:
         return part.select(*group, "bi", "bj", "nr", "nc", "blk")
     return tree_sum_blocks(part, group + ["bi", "bj"], "kc", k)
@@ -177,29 +180,67 @@ def default_tasks(spark: SparkSession) -> int:
 
 
 def matmul_blocks(a: DataFrame, b: DataFrame, block_size: int, shape_a: tuple[int, int],
-                  shape_b: tuple[int, int], grid: tuple[int, int] | None = None) -> DataFrame:
+                  shape_b: tuple[int, int], grid: tuple[int, int] | None = None,
+                  value: str = "double") -> DataFrame:
     """C = A * B on the BLOCKS layout (both sides tiled with the same ``block_size``)."""
+    check_shapes(shape_a, shape_b)
     nbi = -(-shape_a[0] // block_size)
     nbk = -(-shape_a[1] // block_size)
     nbj = -(-shape_b[1] // block_size)
     grid = grid or grid_for(nbi, nbk, nbj, block_size, default_tasks(a.sparkSession))
-    return block_product(a, b, grid)
+    return block_product(a, b, grid, value=value)
+
+
+INTEGERS = ("bigint", "int", "smallint", "tinyint")
+
+
+def check_shapes(shape_a: tuple[int, int], shape_b: tuple[int, int], exact: bool = False) -> None:
+    """Refuse sides whose inner sizes can't be those of one product.
+
+    Sizes measured from cells miss trailing zero rows and columns, so only
+    ``exact`` (declared) sizes must be equal.
+    """
+    if exact and shape_a[1] != shape_b[0]:
+        raise ValueError(f"inner sizes differ: {shape_a} by {shape_b}")
+
+
+def kernel_for(type_a: str, type_b: str, inner: int, max_a, max_b, growth: int = 1) -> str | None:
+    """Tile type in which a product is exact: 'double', 'bigint', or None if only cells are.
+
+    Floating inputs take doubles. Integer sums are bounded by
+    inner * max|A| * max|B| (times ``growth`` for intermediate sums): below
+    2**53 doubles hold them exactly, below 2**63 integers do. Decimals stay cells.
+    """
+    if type_a in ("double", "float") and type_b in ("double", "float"):
+        return "double"
+    if type_a not in INTEGERS or type_b not in INTEGERS:
+        return None
+    bound = int(inner) * int(max_a) * int(max_b) * growth
+    return "double" if bound < 1 << 53 else "bigint" if bound < 1 << 63 else None
 
 
 def matmul_block(a: DataFrame, b: DataFrame, block_size: int,
                  shape_a: tuple[int, int] | None = None, shape_b: tuple[int, int] | None = None,
-                 grid: tuple[int, int] | None = None, cast: str | None = "auto") -> DataFrame:
+                 grid: tuple[int, int] | None = None, cast: str | None = "auto",
+                 value: str | None = None) -> DataFrame:
     """C = A * B through dense ``block_size`` tiles multiplied by NumPy on executors.
 
-    Arithmetic is float64; with ``cast='auto'`` integer inputs come back as
-    BIGINT (exact while every partial sum stays below 2**53).
+    Integer inputs are measured (unless the caller names the tile type by
+    ``value``): tiles are doubles or 64-bit integers, whichever is exact, and
+    the result is BIGINT. Inputs that no tile type holds exactly are refused.
     """
-    shape_a = shape_a or shape_of(a)
-    shape_b = shape_b or shape_of(b)
+    ta, tb = dict(a.dtypes)["v"], dict(b.dtypes)["v"]
+    if value is None and ta in ("double", "float") and tb in ("double", "float"):
+        value = "double"
+    if value is None or shape_a is None or shape_b is None:
+        sa, sb = stats_of(a, b)
+        shape_a, shape_b = shape_a or sa[:2], shape_b or sb[:2]
+        value = value or kernel_for(ta, tb, max(sa[1], sb[0]), sa[3], sb[3])
+        if value is None:
+            raise ValueError(f"no tile type holds {ta} x {tb} exactly here; use strategy 'join'")
     ab = cells_to_blocks(a, block_size, shape_a)
     bb = cells_to_blocks(b, block_size, shape_b)
-    c = matmul_blocks(ab, bb, block_size, shape_a, shape_b, grid)
+    c = matmul_blocks(ab, bb, block_size, shape_a, shape_b, grid, value)
     if cast == "auto":
-        ta, tb = dict(a.dtypes)["v"], dict(b.dtypes)["v"]
-        cast = "bigint" if ta in ("bigint", "int", "smallint", "tinyint") and tb == ta else None
+        cast = "bigint" if ta in INTEGERS and tb in INTEGERS else None
     return blocks_to_cells(c, block_size, cast=cast)

@@ -63,7 +63,7 @@ def hot_key_table(left: DataFrame, right: DataFrame, keys: list[str],
     st = st.withColumn("sa", sa.cast("int"))
     sb = F.least(F.greatest(F.ceil(s / F.col("sa")), F.lit(1)), F.col("nb"))
     st = st.withColumn("sb", sb.cast("int"))
-    return st.orderBy(F.desc("pairs")).limit(max_hot).select(*keys, "sa", "sb")
+    return st.orderBy(F.desc("pairs"), *keys).limit(max_hot).select(*keys, "sa", "sb")
 
 
 def contract(left: DataFrame, right: DataFrame, group: list[str], hot_split: bool = False,

@@ -41,13 +41,27 @@ def dims_of(*matrices: DataFrame) -> list[tuple[int, int, int]]:
             for n in range(len(matrices))]
 
 
+def stats_of(*matrices: DataFrame) -> list[tuple[int, int, int, int | float]]:
+    """(nrows, ncols, nnz, largest absolute value) of several matrices in one job."""
+    u = None
+    for n, m in enumerate(matrices):
+        x = m.select(F.lit(n).alias("_m"), "i", "j", F.col("v").alias(f"v{n}"))
+        u = x if u is None else u.unionByName(x, allowMissingColumns=True)
+    aggs = [f(f"v{n}").alias(f"{nm}{n}") for n in range(len(matrices)) for nm, f in (("hi", F.max), ("lo", F.min))]
+    got = {r["_m"]: r for r in u.groupBy("_m").agg(
+        (F.max("i") + 1).alias("nrows"), (F.max("j") + 1).alias("ncols"),
+        F.count(F.lit(1)).alias("nnz"), *aggs).collect()}
+    return [(int(r["nrows"]), int(r["ncols"]), int(r["nnz"]), max(abs(r[f"hi{n}"] or 0), abs(r[f"lo{n}"] or 0)))
+            if (r := got.get(n)) else (0, 0, 0, 0) for n in range(len(matrices))]
+
+
 def shape_of(cells: DataFrame) -> tuple[int, int]:
     """(nrows, ncols) as Python ints: a one-row aggregate, for plan-time sizes."""
     r = matrix_dims(cells).first()
     return int(r["nrows"] or 0), int(r["ncols"] or 0)
 
 
-def _dense(entries: str, n, vtype: str) -> F.Column:
+def dense_array(entries: str, n, vtype: str) -> F.Column:
     """Dense array of length ``n`` from array<struct<p, v>> with distinct positions.
 
     A full array is only sorted by position. Otherwise the missing positions
@@ -71,7 +85,7 @@ def cells_to_rows(cells: DataFrame, ncols: int | None = None) -> DataFrame:
     g = cells.groupBy("i").agg(F.collect_list(F.struct(F.col("j").alias("p"), F.col("v"))).alias("e"))
     if ncols is None:
         return g.select("i", F.transform(F.sort_array("e"), lambda x: x["v"]).alias("row"))
-    return g.select("i", _dense("e", F.lit(ncols), dict(cells.dtypes)["v"]).alias("row"))
+    return g.select("i", dense_array("e", F.lit(ncols), dict(cells.dtypes)["v"]).alias("row"))
 
 
 def cells_to_blocks(cells: DataFrame, b: int, shape: tuple[int, int], pad: bool = False) -> DataFrame:
@@ -82,8 +96,8 @@ def cells_to_blocks(cells: DataFrame, b: int, shape: tuple[int, int], pad: bool
     """
     nrows, ncols = shape
     vtype = dict(cells.dtypes)["v"]
-    bi = F.floor(F.col("i") / b).cast("bigint")
-    bj = F.floor(F.col("j") / b).cast("bigint")
+    bi = F.expr(f"i div {b}")
+    bj = F.expr(f"j div {b}")
     if pad:
         nr, nc = F.lit(b), F.lit(b)
     else:
@@ -94,7 +108,7 @@ def cells_to_blocks(cells: DataFrame, b: int, shape: tuple[int, int], pad: bool
                          ((F.col("i") - bi * b) * nc + (F.col("j") - bj * b)).cast("int").alias("p"),
                          "v")
     g = keyed.groupBy("bi", "bj", "nr", "nc").agg(F.collect_list(F.struct("p", "v")).alias("e"))
-    blk = _dense("e", F.col("nr") * F.col("nc"), vtype)
+    blk = dense_array("e", F.col("nr") * F.col("nc"), vtype)
     return g.select("bi", "bj", "nr", "nc", blk.alias("blk"))
 
 
@@ -187,7 +201,20 @@ def assemble(quadrants: dict[int, DataFrame], hr: int, hc: int) -> DataFrame:
     return out
 
 
-def hstack_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """[L | R] on ROWS: join on the row index (unique per side), concatenate rows."""
+def hstack_rows(left: DataFrame, right: DataFrame, left_cols: int | None = None,
+                right_cols: int | None = None) -> DataFrame:
+    """[L | R] on dense ROWS: join on the row index (unique per side), concatenate rows.
+
+    A row that only one side has is zeros on the other, as wide as that side
+    (given, or the widest row found).
+    """
+    def width(rows: DataFrame, given: int | None) -> int:
+        return given if given is not None else int(rows.agg(F.max(F.size("row"))).first()[0] or 0)
+
+    def padded(col: str, n: int, vtype: str) -> F.Column:
+        return F.coalesce(col, F.array_repeat(F.lit(0).cast(vtype), n))
+
+    vtype = dict(left.dtypes)["row"][len("array<"):-1]
     return left.join(right.withColumnRenamed("row", "row_r"), "i", "full_outer").select(
-        "i", F.concat(F.coalesce("row", F.array()), F.coalesce("row_r", F.array())).alias("row"))
+        "i", F.concat(padded("row", width(left, left_cols), vtype),
+                      padded("row_r", width(right, right_cols), vtype)).alias("row"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.coefficients import coefficient_frames
 from tessera.functions.expressions import padded_size, path_m, path_parent
-from tessera.operators import algebra, blocks, layout, products, strassen
+from tessera.operators import algebra, blocks, dispatch, layout, products, strassen
 from tessera.operators.dispatch import matmul
 from tessera.operators.layout import shape_of
 from tessera.plans import oracle as sq
@@ -200,7 +200,7 @@ def q_matmul_join(spark, sf):
 
 def q_matmul_abt(spark, sf):
     e = _e(spark, sf)
-    return products.matmul_abt(e, e)
+    return dispatch.matmul_abt(e, e)
 
 
 def q_matmul_broadcast(spark, sf):
@@ -277,16 +277,30 @@ def q_generate_uniform(spark, sf):
 
 
 def q_parquet_roundtrip(spark, sf):
-    e = _e(spark, sf)
-    both = (e.select(F.lit(1).alias("which"), "*")
-             .unionByName(_f(e).select(F.lit(2).alias("which"), "*")))
+    """E, SP and UE stored as dense row tables in one job, every non-zero cell read back."""
+    parts = None
+    for which, m in ((1, _e(spark, sf)), (2, tables.supplier_part(spark, sf)), (3, tables.user_event(spark, sf))):
+        m = m.select(F.lit(which).alias("which"), "*")
+        parts = m if parts is None else parts.unionByName(m)
     path = f"{shared_dir(spark)}/tessera-roundtrip-{uuid.uuid4().hex}"
-    io.write_rows(both, path, partition_by=["which"])
-    back = spark.read.parquet(path)
-    cells = back.select("which", "i", F.posexplode("row").alias("j", "v"))
-    return cells.groupBy("which").agg(F.countDistinct("i").alias("nrows"),
-                                      F.count(F.lit(1)).alias("cells"),
-                                      F.sum("v").alias("total"))
+    io.write_rows(parts, path, partition_by=["which"])
+    back = None
+    for which in (1, 2, 3):
+        m = io.read_cells(spark, f"{path}/which={which}", "bigint").where("v <> 0").select(F.lit(which).alias("which"), "*")
+        back = m if back is None else back.unionByName(m)
+    return back
+
+
+def q_matmul_auto_exact(spark, sf):
+    """E at a scale whose sums pass 2**53: the default entry stays exact."""
+    e = layout.rows_to_cells(tables.embedding_rows(spark, sf, 100_000_000))
+    return dispatch.matmul(algebra.transpose(e), e)
+
+
+def q_matmul_block_chunked(spark, sf):
+    """E^T * E with the inner side in 20 chunks, so partial tiles are summed in rounds."""
+    et, e, st, se = _et_e(spark, sf)
+    return blocks.matmul_block(et, e, 16, st, se, grid=(2, 20))
 
 
 QUERIES = {
@@ -327,6 +341,8 @@ QUERIES = {
     "generate_binary": q_generate_binary,
     "generate_uniform": q_generate_uniform,
     "parquet_roundtrip": q_parquet_roundtrip,
+    "matmul_auto_exact": q_matmul_auto_exact,
+    "matmul_block_chunked": q_matmul_block_chunked,
     "blocks_parquet_roundtrip": q_blocks_parquet_roundtrip,
 }
 
@@ -407,8 +423,10 @@ def _oracle() -> dict[str, str]:
     o["generate_formula"] = FM
     o["generate_binary"] = sq.formula(E, SEED, 2)
     o["parquet_roundtrip"] = " UNION ALL ".join(
-        f"SELECT {w} AS which, count(DISTINCT i) AS nrows, count(*) AS cells, CAST(sum(v) AS BIGINT) AS total "
-        f"FROM ({src})" for w, src in ((1, E), (2, FM)))
+        f"SELECT {w} AS which, i, j, v FROM ({src}) WHERE v <> 0" for w, src in ((1, E), (2, SP), (3, UE)))
+    big = E.replace("* 10000)", "* 100000000)")
+    o["matmul_auto_exact"] = sq.product(sq.t(big), big)
+    o["matmul_block_chunked"] = sq.product(ET, E)
     return o
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import broadcast_if_small
-from tessera.operators.layout import cells_to_rows, rows_to_cells
+from tessera.operators.layout import dense_array, rows_to_cells
 from tessera.sources import generate
 
 ROWS_SCHEMA = "i BIGINT, row ARRAY<{t}>"
@@ -19,13 +19,22 @@ MAX_FILES = 1_000_000
 
 def write_rows(cells: DataFrame, path: str, ncols: int | None = None, mode: str = "overwrite",
                partition_by: list[str] | None = None) -> None:
-    """CELLS -> ROWS -> Parquet, clustered by ``i`` so range filters on i prune row groups."""
+    """CELLS -> dense ROWS -> Parquet, clustered by ``i`` so range filters on i prune row groups.
+
+    Absent cells of a stored row are zeros, so positions are kept. ``ncols`` is
+    the width of every row; without it each matrix is as wide as its last cell.
+    """
     extra = partition_by or []
-    if extra:
-        rows = (cells.groupBy(*extra, "i").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row")))
+    vtype = dict(cells.dtypes)["v"]
+    rows = cells.groupBy(*extra, "i").agg(F.collect_list(F.struct(F.col("j").alias("p"), F.col("v"))).alias("__cells"))
+    if ncols is not None:
+        rows = rows.withColumn("__width", F.lit(ncols).cast("bigint"))
+    elif extra:
+        widths, _ = broadcast_if_small(cells.groupBy(*extra).agg((F.max("j") + 1).alias("__width")), MAX_FILES)
+        rows = rows.join(widths, extra)
     else:
-        rows = cells_to_rows(cells, ncols)
+        rows = rows.withColumn("__width", F.lit(cells.agg(F.max("j") + 1).first()[0] or 0).cast("bigint"))
+    rows = rows.select(*extra, "i", dense_array("__cells", F.col("__width"), vtype).alias("row"))
     w = rows.repartitionByRange("i").sortWithinPartitions("i").write.mode(mode)
     if extra:
         w = w.partitionBy(*extra)
@@ -44,21 +53,23 @@ def read_cells(spark: SparkSession, path: str, value_type: str = "double") -> Da
 def read_unindexed_rows(spark: SparkSession, path: str, row: str = "row") -> DataFrame:
     """A row table written without an index (one record per row, in file order).
 
-    i = (rows in earlier files) + position inside the file, files in part
-    number order. The per-file counts are one row per file; their running sum
-    is the offset.
+    i = (rows in earlier files) + position inside the file; files come by
+    folder, then in part number order. The per-file counts are one row per
+    file, at most ``MAX_FILES``; their running sum is the offset.
     """
     raw = spark.read.parquet(path).select(
-        row, F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("ri"))
-    counts = raw.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+        row, F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("ri"))
+    counts, small = broadcast_if_small(raw.groupBy("f").agg(F.count(F.lit(1)).alias("n")), MAX_FILES)
+    if not small:
+        raise ValueError(f"{path} has more than {MAX_FILES} files; write it with an index")
     # Spark numbers files part-00000, part-00001, ...; the width grows past
     # 99999, so order by the number first and by name only to break ties.
-    num = F.regexp_extract("f", r"part-(\d+)", 1)
-    order = [F.when(num == "", None).otherwise(num.cast("bigint")), F.col("f")]
+    folder = F.regexp_extract("f", r"^(.*/)[^/]*$", 1)
+    num = F.regexp_extract("f", r"part-(\d+)[^/]*$", 1)
+    order = [folder, F.when(num == "", None).otherwise(num.cast("bigint")), F.col("f")]
     offs = counts.select("f", (F.sum("n").over(Window.orderBy(*order)) - F.col("n")).alias("off"))
-    offs, _ = broadcast_if_small(offs, MAX_FILES)
-    return raw.join(offs, "f").select((F.col("off") + F.col("ri")).cast("bigint").alias("i"),
-                                      F.col(row).alias("row"))
+    return raw.join(F.broadcast(offs), "f").select((F.col("off") + F.col("ri")).cast("bigint").alias("i"),
+                                                   F.col(row).alias("row"))
 
 
 def write_sweep(spark: SparkSession, path: str, sizes: list[int], seed: int = 0,

@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROWS form of E: (i, row ARRAY<BIGINT>)."""
+def embedding_rows(spark: SparkSession, sf_dir: str, scale: int = EMBED_SCALE) -> DataFrame:
+    """ROWS form of E: (i, row ARRAY<BIGINT>), v = floor(x * scale)."""
     e = table(spark, sf_dir, "embeddings")
-    row = F.transform("embedding", lambda x: F.floor(x.cast("double") * EMBED_SCALE).cast("bigint"))
+    row = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     return e.select(F.col("vec_id").cast("bigint").alias("i"), row.alias("row"))
 
 

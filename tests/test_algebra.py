@@ -7,7 +7,8 @@ from conftest import from_dense, to_dense
 from tessera.operators.algebra import add, matrix_diff, subtract, transpose
 from tessera.operators.blocks import matmul_block
 from tessera.operators.dispatch import matmul
-from tessera.operators.products import matmul_abt, matmul_broadcast, matmul_join
+from tessera.operators.dispatch import matmul_abt
+from tessera.operators.products import matmul_broadcast, matmul_join
 from tessera.operators.strassen import matmul_strassen
 
 

@@ -1,65 +1,50 @@
-"""The shipped CSV matrices: load checksums and golden products (FIXTURES.md)."""
-
-import os
+"""CSV matrices written by the tests: loading and products in every strategy against NumPy."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE_DIR, to_dense
+from conftest import to_dense
 from tessera.operators.blocks import matmul_block
 from tessera.operators.products import matmul_broadcast, matmul_join
 from tessera.operators.strassen import matmul_strassen
 from tessera.sources.io import read_csv_matrix
 
-# Checksums of the sample files after v = round(x * 100000),
-# and of their products (scale 10**10), from FIXTURES.md.
-LOAD = {
-    (8, 1): (64, 3456024, 11670096085), (8, 2): (64, 3286282, 12592577701),
-    (16, 1): (256, 13434482, 99740675133), (16, 2): (256, 12835358, 100088539623),
-    (32, 1): (1024, 52812825, 823427767657), (32, 2): (1024, 50293992, 783095334517),
-    (64, 1): (4096, 206625557, 6554359406537), (64, 2): (4096, 205543607, 6500943269729),
-}
-PRODUCT = {
-    8: (1419744447315, 185971763649, 29651341641),
-    16: (10746945125977, 684378116345, 49885781379),
-    32: (82886498674499, 2573608265486, 68466018371),
-    64: (663745384938537, 10367829208852, 147223798494),
-}
-
-pytestmark = pytest.mark.skipif(not os.path.isdir(SAMPLE_DIR), reason="sample matrices not present")
+SIZES = (8, 16, 32, 64)
 
 
-def _csv(spark, n, k):
-    return read_csv_matrix(spark, f"{SAMPLE_DIR}/matrix_{n}x{n}_{k}.csv")
+def _matrix(n, k):
+    return np.random.default_rng(1000 * n + k).integers(0, 100_000, (n, n))
 
 
-@pytest.mark.parametrize("n,k", sorted(LOAD))
-def test_load_checksums(spark, n, k):
-    m = _csv(spark, n, k)
-    r = m.agg(F.count("*").alias("c"), F.sum("v").alias("s"),
-              F.sum(F.col("v") * (F.col("i") * 1000 + F.col("j"))).alias("w")).first()
-    assert (r["c"], r["s"], r["w"]) == LOAD[(n, k)]
+@pytest.fixture(scope="module")
+def csv(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("csv")
+    for n in SIZES:
+        for k in (1, 2):
+            (folder / f"{n}_{k}.csv").write_text("\n".join(",".join(f"{v / 100_000:.5f}" for v in row) for row in _matrix(n, k)) + "\n")
+    return lambda n, k: read_csv_matrix(spark, f"{folder}/{n}_{k}.csv")
 
 
-def _check(c, n):
-    s, tr, c00 = PRODUCT[n]
-    assert int(c.sum()) == s
-    assert int(np.trace(c)) == tr
-    assert int(c[0, 0]) == c00
+@pytest.mark.parametrize("n,k", [(n, k) for n in SIZES for k in (1, 2)])
+def test_load_checksums(csv, n, k):
+    r = csv(n, k).agg(F.count("*").alias("c"), F.sum("v").alias("s"),
+                      F.sum(F.col("v") * (F.col("i") * 1000 + F.col("j"))).alias("w")).first()
+    m = _matrix(n, k)
+    i, j = np.indices(m.shape)
+    assert (r["c"], r["s"], r["w"]) == (n * n, int(m.sum()), int((m * (i * 1000 + j)).sum()))
 
 
-@pytest.mark.parametrize("n", [8, 16, 32, 64])
-def test_golden_products_all_strategies(spark, n):
-    a, b = _csv(spark, n, 1), _csv(spark, n, 2)
-    shape = (n, n)
-    _check(to_dense(matmul_join(a, b), shape), n)
-    _check(to_dense(matmul_broadcast(a, b), shape), n)
-    _check(to_dense(matmul_strassen(a, b, 1, shape, shape), shape), n)
-    _check(to_dense(matmul_strassen(a, b, 2, shape, shape, leaf="block", block_size=max(2, n // 8)), shape), n)
-    _check(to_dense(matmul_block(a, b, max(2, n // 4), shape, shape), shape), n)
+@pytest.mark.parametrize("n", SIZES)
+def test_golden_products_all_strategies(csv, n):
+    a, b, shape = csv(n, 1), csv(n, 2), (n, n)
+    want = _matrix(n, 1) @ _matrix(n, 2)
+    for c in (matmul_join(a, b), matmul_broadcast(a, b), matmul_strassen(a, b, 1, shape, shape),
+              matmul_strassen(a, b, 2, shape, shape, leaf="block", block_size=max(2, n // 8)),
+              matmul_block(a, b, max(2, n // 4), shape, shape)):
+        assert (to_dense(c, shape) == want).all()
 
 
-def test_golden_strassen_three_levels(spark):
-    a, b = _csv(spark, 64, 1), _csv(spark, 64, 2)
-    _check(to_dense(matmul_strassen(a, b, 3, (64, 64), (64, 64)), (64, 64)), 64)
+def test_golden_strassen_three_levels(csv):
+    c = matmul_strassen(csv(64, 1), csv(64, 2), 3, (64, 64), (64, 64))
+    assert (to_dense(c, (64, 64)) == _matrix(64, 1) @ _matrix(64, 2)).all()
