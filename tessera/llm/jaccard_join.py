@@ -7,8 +7,9 @@ node from the start; a node is named by the 64-bit hash of its set.
 Index. Every set is put into one global order: frequent n-grams last, the others by
 hash. Sets that link share an n-gram among the first n - ceil(t * n) + 1 of both, so
 only these are indexed, each with its position and the set's size. (Frequent are at
-most ``MAX_FREQUENT`` n-grams, counted over all documents in chunks; the order
-decides the cost, never the result.)
+most ``MAX_FREQUENT`` n-grams: those counted often over all documents in chunks,
+then those whose lists in a first index are long, so that lists stay short however
+many documents there are. The order decides the cost, never the result.)
 
 Index-level skipping. In a list, a set at position i of n shares at most n - i
 n-grams with a set it meets there first. Lists are sorted by size and position, so
@@ -45,9 +46,10 @@ from tessera.llm.components import components
 from tessera.llm.text import SHINGLE_WORDS, distinct, materialize, shingle_set, small_slices
 
 THRESHOLD = 80
-MAX_FREQUENT = 1 << 18
-#: An n-gram is frequent if it is in at least one in so many sets.
+MAX_FREQUENT = 1 << 20
+#: An n-gram is frequent if it is in at least one in so many sets, or if its list has more sets than LONG_LIST.
 FREQUENT_SHARE = 1000
+LONG_LIST = 48
 CHUNK = 1 << 21
 #: Members of a centre that a task verifies, about.
 MEMBERS = 512
@@ -302,6 +304,10 @@ def links(docs: DataFrame, nodes: DataFrame, frequent, n: int, t: int) -> DataFr
     """Links between different sets, enough of them to connect whatever links connect."""
     reps = nodes.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"))
     rows = materialize(lists(index(docs.select("text"), frequent, n, t), t), "lists")
+    long = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > LONG_LIST).orderBy(F.desc("k"), "gram").limit(MAX_FREQUENT)
+    if len(often := long.select("gram").toArrow().column(0).to_numpy()):
+        every = distinct(np.concatenate((frequent.value, often.astype(np.int64).view(np.uint64))))
+        rows = materialize(lists(index(docs.select("text"), docs.sparkSession.sparkContext.broadcast(every), n, t), t), "lists")
     led = materialize(rows.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "led")
     first = materialize(verify(led, reps, docs, n, t), "links")
     label = materialize(components(first), "components")

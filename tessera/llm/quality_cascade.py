@@ -2,7 +2,7 @@
 
 Each rule rejects a text or lets it pass; a text is kept when none rejects it, so
 the verdict doesn't depend on the order of the rules, only the cost does. The
-order is found by measurement: ``measure`` runs every rule on a sample of at most
+order is found by measurement: ``measure`` runs every rule on a sample of about
 ``sample_rows`` texts, on the executors, and sums seconds and rejections per rule;
 ``order_rules`` puts first what rejects most per second. ``apply`` then runs the
 rules in that order and stops at a text's first rejection.
@@ -128,9 +128,9 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", id_col: str = "doc_id",
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
             sample_rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, int]]:
-    """Seconds and rejections of each rule over a sample of at most ``sample_rows`` rows, spread by hash."""
+    """Seconds and rejections of each rule over a random sample of about ``sample_rows`` rows, run where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, hits = [0.0] * len(rules), [0] * len(rules)
@@ -144,8 +144,8 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
                     spent[i] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"rule": list(range(len(rules))), "s": spent, "hits": hits})
 
-    sample = (docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"))
-              .orderBy("h").limit(sample_rows).select("text"))
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    sample = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).sample(share, seed=7)
     rows = sample.mapInArrow(run, "rule bigint, s double, hits bigint").groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits")).collect()
     got = {r["rule"]: (r["s"], r["hits"]) for r in rows}
     return {rule.name: got.get(i, (0.0, 0)) for i, rule in enumerate(rules)}
@@ -167,7 +167,7 @@ _SPARK = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigin
 def apply(docs: DataFrame, rules: tuple[Rule, ...] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``id_col``, the base counts, ``base_failed`` and ``kept`` of every row. rules: in the order to run; measured if None."""
     if rules is None:
-        rules = order_rules(measure(docs, RULES, text_col, id_col))
+        rules = order_rules(measure(docs, RULES, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

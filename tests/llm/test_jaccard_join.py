@@ -71,6 +71,7 @@ def test_families_match_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(jaccard_join, "MAX_FREQUENT", max(1, frequent))
     monkeypatch.setattr(jaccard_join, "FREQUENT_SHARE", 20)
     monkeypatch.setattr(jaccard_join, "MEMBERS", 7)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 9)
     rows = family_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
