@@ -291,6 +291,13 @@ def q_parquet_roundtrip(spark, sf):
     return back
 
 
+def q_matmul_rows_broadcast(spark, sf):
+    """E, as stored rows, times a formula matrix with a row for each of E's columns and 5 columns."""
+    c = int(tables.table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0)
+    b = generate.formula(spark, c, 5, SEED)
+    return layout.rows_to_cells(products.matmul_rows_broadcast(tables.embedding_rows(spark, sf), b, (c, 5))).where("v <> 0")
+
+
 def q_matmul_auto_exact(spark, sf):
     """E at a scale whose sums pass 2**53: the default entry stays exact."""
     e = layout.rows_to_cells(tables.embedding_rows(spark, sf, 100_000_000))
@@ -342,6 +349,7 @@ QUERIES = {
     "generate_uniform": q_generate_uniform,
     "parquet_roundtrip": q_parquet_roundtrip,
     "matmul_auto_exact": q_matmul_auto_exact,
+    "matmul_rows_broadcast": q_matmul_rows_broadcast,
     "matmul_block_chunked": q_matmul_block_chunked,
     "blocks_parquet_roundtrip": q_blocks_parquet_roundtrip,
 }
@@ -424,6 +432,9 @@ def _oracle() -> dict[str, str]:
     o["generate_binary"] = sq.formula(E, SEED, 2)
     o["parquet_roundtrip"] = " UNION ALL ".join(
         f"SELECT {w} AS which, i, j, v FROM ({src}) WHERE v <> 0" for w, src in ((1, E), (2, SP), (3, UE)))
+    five = (f"SELECT e.j AS i, t.j AS j FROM (SELECT DISTINCT j FROM ({E})) e CROSS JOIN "
+            "(SELECT CAST(range AS BIGINT) AS j FROM range(0, 5)) t")
+    o["matmul_rows_broadcast"] = sq.product(E, sq.formula(five, SEED))
     big = E.replace("* 10000)", "* 100000000)")
     o["matmul_auto_exact"] = sq.product(sq.t(big), big)
     o["matmul_block_chunked"] = sq.product(ET, E)

@@ -101,16 +101,36 @@ def test_aqe_splits_hot_leaf_join(spark):
     assert "SortMergeJoin(skew=true)" in final
 
 
-def test_broadcast_product_splits_hot_rows(spark):
-    """One row of A holding a third of its cells is spread over tasks; result exact."""
+def rnd(shape, seed, density=1.0):
+    r = np.random.default_rng(seed)
+    return (r.integers(-9, 10, shape) * (r.random(shape) < density)).astype(np.int64)
+
+
+def test_broadcast_product_reads_a_once_and_shuffles_partial_sums_alone(spark):
+    """A hot row is spread like any other cells: no exchange below the join, one scan of A."""
     from tessera.operators.products import matmul_broadcast
-    r = np.random.default_rng(4)
-    x = (r.random((40, 50)) < 0.05) * r.integers(1, 9, (40, 50))
-    x[3, :] = r.integers(1, 9, 50)
-    y = r.integers(-3, 4, (50, 30))
-    a, b = from_dense(spark, x.astype(np.int64)), from_dense(spark, y.astype(np.int64))
-    for cpt in (10, 1 << 20):
-        c = matmul_broadcast(a, b, cells_per_task=cpt)
-        assert (to_dense(c, (40, 30)) == x @ y).all()
-    c = matmul_broadcast(a, b, split_hot_rows=False)
-    assert (to_dense(c, (40, 30)) == x @ y).all()
+    from tessera.session import shared_dir
+    x, y = rnd((30, 40), 7, density=0.2), rnd((40, 6), 8)
+    x[3, :] = np.arange(1, 41)
+    path = f"{shared_dir(spark)}/broadcast-{np.random.default_rng().integers(1 << 40)}"
+    from_dense(spark, x).write.parquet(path)
+    a, b = spark.read.parquet(path), from_dense(spark, y)
+    c = matmul_broadcast(a, b)
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("BroadcastHashJoin"):]
+    assert "Exchange hashpartitioning" not in below and plan.count("FileScan parquet") == 1
+    assert (to_dense(c, (30, 6)) == x @ y).all()
+
+
+def test_rows_broadcast_is_one_narrow_pass(spark):
+    import pytest
+    from tessera.operators.layout import cells_to_rows, rows_to_cells
+    from tessera.operators.products import matmul_rows_broadcast
+    for dtype, name in ((np.int64, "bigint"), (float, "double")):
+        x, y = rnd((30, 12), 9), rnd((12, 5), 10)
+        rows = cells_to_rows(from_dense(spark, x.astype(dtype), name), 12)
+        c = matmul_rows_broadcast(rows, from_dense(spark, y.astype(dtype), name), (12, 5))
+        assert dict(c.dtypes)["row"] == f"array<{name}>"
+        assert (to_dense(rows_to_cells(c), (30, 5)) == x @ y).all()
+    with pytest.raises(ValueError):
+        matmul_rows_broadcast(rows, from_dense(spark, y), (12, 5), max_cells=3)
