@@ -12,13 +12,14 @@ shorter look proves unique or equal:
 * Sort and name. Runs are shuffled and sorted by (sample name, run content). Runs of
   equal content are equal at every start; a name with one run holds no repeat. What
   is left, names with runs that differ, is cut out and goes on.
-* Recursion. The next round samples longer strings (``ROUNDS``) of these runs, which
-  names them anew, each round splitting what the round before could not tell.
-* Merge. The starts that remain are named by a difference cover of period 3 over
-  letters of 25 bytes: the suffix at letter 1 by its triples (letters 1-3, 4-6, 7),
-  their names named again, the suffix at letter 0 by (letter, name of the suffix at
-  letter 1). Sorted by these, equal strings are adjacent, and adjacent names are
-  compared.
+* Recursion. A name of more than ``LOCAL`` such runs is sampled anew with longer
+  strings (``ROUNDS``), which splits what the round before could not tell, down to
+  single starts.
+* Merge. All starts of the other names, which one task holds, are named by a
+  difference cover of period 3 over letters of 25 bytes: the suffix at letter 1 by its
+  triples (letters 1-3, 4-6, 7), their names named again, the suffix at letter 0 by
+  (letter, name of the suffix at letter 1). Sorted by these, equal strings are
+  adjacent, and adjacent names are compared.
 
 Names are 64-bit hashes, not ranks, so naming needs no shuffle of its own; strings
 are taken as equal when all their names (128 bits) agree. Equal runs collapse in the
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import _BYTE, _power_tables, materialize, mix64, small_slices
+from tessera.llm.text import _BYTE, _MULT, _power_tables, materialize, mix64, small_slices
 
 LENGTH = 200
 ROUNDS = (64, 150, 185)
@@ -48,6 +49,8 @@ TRIPLES = (0, 25, 100, 175, 200)
 _POSITION = np.uint64((1 << 20) - 1)
 #: Starts of a text that are sampled at a time, and rows that a task collapses before it sends them.
 SEGMENT, HELD = 1 << 19, 1 << 18
+#: Runs of a name, and starts, that are merged at a time in the task that holds them; names of more runs recurse.
+LOCAL, STARTS = 4096, 300_000
 MAX_BROADCAST = 1 << 21
 COLUMNS = ("key", "ctx", "doc", "a", "e", "n", "content", "done")
 SCHEMA = "key bigint, ctx bigint, doc bigint, a bigint, e bigint, n int, content binary, done boolean"
@@ -94,17 +97,31 @@ def _segment(raw: bytes, k: int, lo: int):
     return name[sample].view(np.int64), ctx.view(np.int64), a + lo, e + lo
 
 
-def window_names(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def names_at(text: Hashed, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each start: the name of letter 0, and of the suffix at letter 1, named by the names of its triples."""
-    text = Hashed(raw)
-    at = np.arange(len(raw) - LENGTH + 1)
     letter, *triples = (text.stretch(at + x, at + y) for x, y in zip(TRIPLES, TRIPLES[1:]))
     suffix = np.zeros(len(at), dtype=np.uint64)
     for t in triples:
-        suffix = mix64(suffix * np.uint64(0x9E3779B97F4A7C15) + t)
+        suffix = mix64(suffix * np.uint64(_MULT) + t)
     return letter.view(np.int64), suffix.view(np.int64)
 
 
+def _merged(content: list[bytes], doc: np.ndarray, a: np.ndarray, n: np.ndarray):
+    """Sort all starts of some runs by name and compare adjacent ones; (doc, a, e) of those that repeat, in adjoining stretches."""
+    size = np.array([len(x) for x in content])
+    width, begin = size - LENGTH + 1, np.cumsum(size) - size
+    step = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+    letter, suffix = names_at(Hashed(b"".join(content)), np.repeat(begin, width) + step)
+    order = np.lexsort((suffix, letter))
+    letter, suffix = letter[order], suffix[order]
+    first = np.flatnonzero(np.concatenate(([True], (letter[1:] != letter[:-1]) | (suffix[1:] != suffix[:-1]))))
+    own = np.repeat(n, width)[order]
+    total = np.add.reduceat(own, first)
+    again = (np.repeat(total, np.diff(np.append(first, len(letter)))) >= 2) & (own == 1)
+    start = (np.repeat(a, width) + step)[order][again]
+    return _joined(np.repeat(doc, width)[order][again], start, start + 1)
+
+
 def _collapsed(key, ctx, doc, a, e, n, content) -> pa.RecordBatch:
     """Rows for the next shuffle: one of each class, and as done those that a class of two or more settles."""
     order = np.lexsort((ctx, key))
@@ -146,6 +163,10 @@ class Sender:
         self.size += len(key)
         self.bytes += sum(map(len, content)) if content is not None else 0
 
+    def add_each(self, key, ctx, doc: int, a, e, n, content: list[bytes]):
+        self.add(key, ctx, doc, a, e, 1, content)
+        self.parts[-1] = (*self.parts[-1][:5], n)
+
     def full(self) -> bool:
         return self.size > self.limit or self.bytes > 32 << 20
 
@@ -186,14 +207,23 @@ def _cut(out: Sender, raw: bytes, doc: int, a: int, n: int, k: int) -> None:
         key, ctx, x, y = runs(raw, k)
         out.add(key, ctx, doc, x + a, y + a, n, [raw[i:j + LENGTH - 1] for i, j in zip(x.tolist(), y.tolist())])
     else:
-        key, ctx = window_names(raw)
+        key, ctx = names_at(Hashed(raw), np.arange(len(raw) - LENGTH + 1))
         x = np.arange(len(key)) + a
         out.add(key, ctx, doc, x, x + 1, n, None)
 
 
+def _parts(go: np.ndarray, of_name: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of whole names, a bounded number of starts together."""
+    if len(go):
+        part = np.cumsum(size[go] - LENGTH + 1) // STARTS
+        first = np.flatnonzero(np.diff(of_name[go], prepend=-1))
+        part = np.repeat(part[first], np.diff(np.append(first, len(go))))
+        yield from np.split(go, np.flatnonzero(np.diff(part)) + 1)
+
+
 def compare(rows: DataFrame, next_k: int | None) -> DataFrame:
     """Sort runs by name and content and compare adjacent ones. next_k: None returns what differs as it is; 0 or more cuts it anew."""
-    limit = HELD
+    limit, local = HELD, LOCAL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held, more = Sender(limit), None, False  # more: the held name has had another run before
@@ -214,9 +244,17 @@ def compare(rows: DataFrame, next_k: int | None) -> DataFrame:
             d, x, y = _joined(doc[done], a[done], e[done])
             go = np.flatnonzero(several[of_name])
             if next_k is not None:
-                for c in go:
+                wide = np.diff(np.append(name, len(first))) > local
+                wide[0] |= before
+                wide[-1] |= after
+                far = wide[of_name[go]]
+                for c in go[far]:
                     i = first[c]
                     _cut(out, content[i], int(doc[i]), int(a[i]), int(min(total[c], 2)), next_k)
+                for part in _parts(go[~far], of_name, np.array([len(content[i]) for i in first])):
+                    i = first[part]
+                    more = _merged([content[j] for j in i], doc[i], a[i], np.minimum(total[part], 2))
+                    d, x, y = (np.concatenate(z) for z in zip((d, x, y), more))
                 go = go[:0]
             i = first[go]
             cat = lambda p, q, t: pa.array(np.concatenate((p, q)), t)
@@ -264,7 +302,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     """(doc, a, e): starts a to e - 1 of repeated strings, from (doc, text) rows."""
     first = materialize(compare(first_round(docs), None), "runs")
     open_runs = first.where("NOT done")
-    asked = open_runs.groupBy("doc").agg(F.collect_list(F.struct("a", "e", "n")).alias("asked"))
+    asked = open_runs.groupBy("doc").agg(F.collect_list(F.struct("key", "ctx", "a", "e", "n")).alias("asked"))
     texts = docs.join(_small(asked, open_runs.count()), "doc").select("doc", "text", "asked")
     limit = HELD
 
@@ -274,14 +312,14 @@ def repeated(docs: DataFrame) -> DataFrame:
             for b in small_slices(whole, 4 << 20):
                 for doc, text, asked in zip(*(c.to_pylist() for c in b.columns)):
                     raw = _raw(text)
-                    for x in asked:
-                        _cut(out, raw[x["a"]:x["e"] + LENGTH - 1], doc, x["a"], x["n"], ROUNDS[1])
+                    col = lambda c: np.array([x[c] for x in asked], dtype=np.int64)  # noqa: B023, E731
+                    out.add_each(col("key"), col("ctx"), doc, col("a"), col("e"), col("n"), [raw[x["a"]:x["e"] + LENGTH - 1] for x in asked])
                 if out.full():
                     yield from out.flush()
         yield from out.flush()
 
     rows = texts.mapInArrow(cut_out, SCHEMA)
-    for k in (*ROUNDS[2:], 0):
+    for k in (*ROUNDS[1:], 0):
         rows = compare(rows, k)
     found = compare(rows, None).where("done")
     return first.where("done").select("doc", "a", "e").unionByName(found.select("doc", "a", "e"))

@@ -55,6 +55,7 @@ def family():
 @pytest.mark.parametrize("held,limit", [(suffix_dedup.HELD, suffix_dedup.MAX_BROADCAST), (20, -1)])
 def test_families_match_brute_force(spark, monkeypatch, held, limit):
     monkeypatch.setattr(suffix_dedup, "HELD", held)
+    monkeypatch.setattr(suffix_dedup, "LOCAL", suffix_dedup.LOCAL if held > 20 else 3)
     monkeypatch.setattr(suffix_dedup, "MAX_BROADCAST", limit)
     rows = family()
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
