@@ -34,7 +34,6 @@ MASK_BITS, MIN_CHUNK, MAX_CHUNK = 5, 16, 512
 MIN_RUN = 100
 #: Chunks that a task compares before it sends them.
 HELD = 400_000
-MAX_BROADCAST = 1 << 21  # chunk numbers
 _GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=9) & 0xFFFF for i in range(256)], dtype=np.uint16)
 _TOP = np.uint16((0xFFFF << (16 - MASK_BITS)) & 0xFFFF)
 
@@ -145,11 +144,10 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_
     rows = docs.select(doc.alias("doc"), key.alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
     found = _repeats(_chunks(rows)).groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     found = materialize(found, "repeats")
-    small = (found.agg(F.sum(F.size("places") + 4)).first()[0] or 0) <= MAX_BROADCAST
 
     names = [f"k{i}" for i in range(len(docs.columns))]
     keyed = docs.toDF(*names).withColumn("key", F.xxhash64(F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)]).cast("string")))
-    joined = keyed.join(F.broadcast(found) if small else found, "key", "left").select(*names, "places")
+    joined = keyed.join(found, "key", "left").select(*names, "places")
     at = docs.columns.index(text_col)
     spec = ", ".join(f"{k} {'string' if i == at else f.dataType.simpleString()}" for i, (k, f) in enumerate(zip(names, docs.schema)))
 

@@ -81,18 +81,15 @@ def test_insertions_shift_no_distant_cuts():
     assert set(a) - {x for x in a if 900 <= x <= 1300} <= {x if x < 1000 else x - 8 for x in b}
 
 
-def test_passages_odd_rows_and_shuffled_plan(spark, monkeypatch):
+def test_passages_and_odd_rows(spark):
     rnd = random.Random(5)
     words = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
     passage = words(60)
     rows = [(i, f"{words(30)} {passage} {words(30)}") for i in range(8)] + [(20, None), (21, ""), (22, "x"), (23, "a" * 50000), (24, words(20000)), (25, passage), (26, "a few words")]
     df = spark.createDataFrame([(d, t, "n", 1) for d, t in rows], "doc_id long, text string, key string, n_removed int")
-    for limit in (cdc_dedup.MAX_BROADCAST, -1):
-        monkeypatch.setattr(cdc_dedup, "MAX_BROADCAST", limit)
-        out = cdc_dedup.remove(df)
-        assert out.columns == df.columns
-        got = sorted((r.doc_id, r.text) for r in out.collect())
-        assert got == brute(rows)
+    out = cdc_dedup.remove(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == brute(rows)
     stats = {r.doc_id: r for r in cdc_dedup.remove(df.drop("n_removed"), stats=True).collect()}
     assert all(stats[i].n_removed > 150 for i in range(1, 8)) and stats[0].n_removed == stats[24].n_removed == 0
     assert cdc_dedup.remove(df.where("false")).count() == 0
