@@ -331,8 +331,7 @@ def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     src = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     found = repeated(src.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     found = materialize(found, "spans")
-    entries = found.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = src.join(_small(found, entries), "doc", "left").select("id", "text", "spans")
+    joined = src.join(found, "doc", "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
