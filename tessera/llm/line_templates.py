@@ -10,19 +10,25 @@ lines make templates in two ways:
   when at least ``MIN_CONSTANT`` per cent of its positions, and four, are constant;
   a line is of it when all constant positions agree.
 
-A template recurs when at least ``min_docs`` documents hold it, in at least
-``min_docs`` different contexts (the lines before and after) and in different ones
-for a quarter of these documents at least. So a header, footer or notice recurs,
-while the body of a document that was copied a thousand times, always between the
-same lines, does not: copies are left whole for near-duplicate removal.
+A template recurs when at least ``min_docs`` documents hold it, of at least
+``min_docs`` different groups of copies and of different ones for a quarter of these
+documents at least. So a header, footer or notice recurs, of one line or many, while
+the body of a document that was copied a thousand times does not: copies are left
+whole for near-duplicate removal.
+
+Copies are documents whose lines have the same exact templates, and those linked by
+near copies: each text's 5-word shingles, digit fields masked, make a sketch of
+``BINS`` least hashes, and two texts are near copies if ``NEAR`` per cent of the bins
+that either fills agree. Sketches are compared with the leader of each band of
+``ROWS`` bins they share, so a group of thousands costs a few pairs a member.
 
 Everything is counted over all lines in aggregations that combine before they
 shuffle. Templates found to recur are broadcast in blocks of ``BLOCK`` hashes, each
 block one narrow pass over the documents.
 
-Documents are told apart by id (all null ids are one document); a line counts once a
-document and context. Null texts stay null and hold no line. Lines without a word
-are kept and are no context. All rows and columns come back.
+Documents are told apart by id (all null ids are one document); a template counts once
+a document. Null texts stay null and hold no line. Lines without a word are kept. All
+rows and columns come back.
 """
 
 from __future__ import annotations
@@ -35,12 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import distinct, materialize, small_slices
+from tessera.llm.components import components
+from tessera.llm.jaccard_join import small
+from tessera.llm.text import distinct, materialize, shingle_hashes, small_slices, word_hashes
 
 LEAD = 3
 MIN_DOCS = 10
 MIN_CONSTANT = 60
 BLOCK = 1 << 21
+#: Bins of a sketch (a power of two), bins of a band, per cent of bins that near copies agree in.
+BINS, ROWS, NEAR = 64, 4, 80
 _DIGITS = b"0123456789"
 _FIELD = b"<*>"
 _MASK = (1 << 64) - 1
@@ -79,10 +89,19 @@ def parse(raw: bytes) -> list[Line]:
     return [Line(i, tokens) for i, line in enumerate(raw.split(b"\n")) if (tokens := masked(line))]
 
 
-def contexts(lines: list[Line]) -> list[int]:
-    """A hash of the templates before and after each line."""
-    around = [0, *(x.exact for x in lines), 0]
-    return [_hash(b"%d %d" % (a, b)) for a, b in zip(around, around[2:])]
+def whole(lines: list[Line]) -> int:
+    """A hash of the exact templates of a text, in order."""
+    return _hash(b" ".join([b"%d" % x.exact for x in lines]))
+
+
+def sketch(lines: list[Line]) -> np.ndarray:
+    """The least shingle hash of a text in each bin, 32 bits of it; 0 in bins without one."""
+    s = distinct(shingle_hashes(word_hashes(b" ".join([t for x in lines for t in x.tokens]).lower())))
+    bins = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+    out = np.zeros(BINS, dtype=np.uint32)
+    out[bins[first]] = (s[first] >> np.uint64(16)).astype(np.uint32) | np.uint32(1)
+    return out
 
 
 def _raw(text: str | None) -> bytes:
@@ -98,31 +117,78 @@ def _member(of: np.ndarray, values: list[int]) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, leaves=None) -> DataFrame:
-    """leaf, exact, doc, context of each line; with ``leaves`` (a broadcast sorted array) of their lines alone, with tokens."""
+    """leaf, exact, doc, whole of each line; with ``leaves`` (a broadcast sorted array) of their lines alone, with tokens."""
     kinds = [pa.int64()] * 4 + ([pa.list_(pa.int64())] if leaves is not None else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in small_slices(whole, 4 << 20):
+        for batch in batches:
+            for b in small_slices(batch, 4 << 20):
                 rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     lines = parse(_raw(text))
                     if leaves is None:
-                        rows += [(x.leaf, x.exact, doc, c) for x, c in zip(lines, contexts(lines))]
+                        w = whole(lines)
+                        rows += [(x.leaf, x.exact, doc, w) for x in lines]
                     elif (use := _member(leaves.value, [x.leaf for x in lines])).any():
-                        rows += [(x.leaf, x.exact, doc, c, x.hashes()) for x, c, u in zip(lines, contexts(lines), use) if u]
+                        w = whole(lines)
+                        rows += [(x.leaf, x.exact, doc, w, x.hashes()) for x, u in zip(lines, use) if u]
                 cols = list(zip(*rows)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["leaf", "exact", "doc", "context", "tokens"][:len(kinds)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["leaf", "exact", "doc", "whole", "tokens"][:len(kinds)])
 
-    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, context bigint" + ", tokens array<bigint>" * (leaves is not None))
+    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, whole bigint" + ", tokens array<bigint>" * (leaves is not None))
 
 
-def _recurring(seen: DataFrame, key: str, min_docs: int) -> DataFrame:
-    """Keys of (key, doc, context) rows that recur."""
-    once = seen.groupBy(key, "doc").agg(F.min("context").alias("context"))
-    by_context = once.groupBy(key, "context").agg(F.count(F.lit(1)).alias("n"))
-    return (by_context.groupBy(key).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_contexts"))
-            .where(f"n_docs >= {min_docs} AND n_contexts >= {min_docs} AND 4 * n_contexts >= n_docs").select(key))
+def copies(docs: DataFrame) -> DataFrame:
+    """(node, label): the group of near copies of each different text that has one, from (doc, text) rows."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for b in small_slices(batch, 4 << 20):
+                nodes, drawn = [], []
+                for text in b.column(1).to_pylist():
+                    lines = parse(_raw(text))
+                    if not lines or (w := whole(lines)) in seen:
+                        continue
+                    seen.add(w)
+                    nodes.append(w)
+                    drawn.append(sketch(lines).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(drawn, pa.binary())], names=["node", "sketch"])
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, keys = [], []
+            for node, drawn in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k in range(0, 4 * BINS, 4 * ROWS):
+                    if any(part := drawn[k:k + 4 * ROWS]):
+                        nodes.append(node)
+                        keys.append(_hash(b"%d " % k + part))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["key", "node"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint32).reshape(-1, BINS) for k in (2, 3))
+            near = 100 * ((x == y) & (x != 0)).sum(axis=1) >= NEAR * ((x != 0) | (y != 0)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(near)), b.column(1).filter(pa.array(near))], names=["a", "b"])
+
+    drawn = docs.mapInArrow(draw, "node bigint, sketch binary").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    drawn = materialize(drawn, "sketches")
+    keys = materialize(drawn.mapInArrow(band, "key bigint, node bigint"), "bands")
+    leads = materialize(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("key", "a"), "leaders")
+    pairs = materialize(keys.join(small(leads), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    mine = drawn.join(small(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("a"), F.col("sketch").alias("x"))
+    both = pairs.join(mine, "a").join(drawn.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+    return components(materialize(both.select("a", "b", "x", "y").mapInArrow(agree, "a bigint, b bigint"), "near"))
+
+
+def _recurring(seen: DataFrame, key: str, min_docs: int, groups: DataFrame) -> DataFrame:
+    """Keys of (key, doc, whole) rows that recur."""
+    once = seen.groupBy(key, "doc").agg(F.min("whole").alias("node")).join(groups, "node", "left")
+    by_group = once.groupBy(key, F.coalesce("label", "node").alias("copies")).agg(F.count(F.lit(1)).alias("n"))
+    return (by_group.groupBy(key).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_groups"))
+            .where(f"n_docs >= {min_docs} AND n_groups >= {min_docs} AND 4 * n_groups >= n_docs").select(key))
 
 
 def _blocks(df: DataFrame, key: str, n: int) -> Iterator:
@@ -156,8 +222,9 @@ def _matches() -> F.Column:
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """From (doc, text) rows: exact templates that recur, and leaves with generalised templates that recur."""
     lines = materialize(_lines(docs), "lines")
-    exact = materialize(_recurring(lines, "exact", min_docs), "exact-templates")
-    leaves = (_recurring(lines, "leaf", min_docs)
+    groups = small(materialize(copies(docs), "copies"))
+    exact = materialize(_recurring(lines, "exact", min_docs, groups), "exact-templates")
+    leaves = (_recurring(lines, "leaf", min_docs, groups)
               .join(lines.groupBy("leaf").agg((F.min("exact") != F.max("exact")).alias("varies")).where("varies"), "leaf", "left_semi"))
     leaves = materialize(leaves, "leaves")
     made = None
@@ -166,7 +233,7 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[Data
         varied = materialize(_lines(docs, block), "leaf-lines")
         templates = materialize(generalise(varied), "templates")
         of = varied.join(templates, "leaf").where(_matches())
-        found = templates.join(_recurring(of.select("leaf", "doc", "context"), "leaf", min_docs), "leaf", "left_semi")
+        found = templates.join(_recurring(of.select("leaf", "doc", "whole"), "leaf", min_docs, groups), "leaf", "left_semi")
         made = found if made is None else made.unionByName(found)
     if made is None:
         made = docs.sparkSession.createDataFrame([], "leaf bigint, template array<bigint>")

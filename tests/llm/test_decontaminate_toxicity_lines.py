@@ -192,3 +192,29 @@ def test_lines_empty_table(spark):
 def test_lines_query(spark):
     out = QUERIES["op10_line_templates"](spark, SF)
     assert out.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"] and out.count() == 200
+
+
+def own_words(rnd, n):
+    return " ".join("".join(rnd.choices("abcdefghijklmnop", k=8)) for _ in range(n))
+
+
+@pytest.mark.parametrize("size", [2, 3])
+def test_lines_of_recurring_blocks_go(spark, size):
+    rnd = random.Random(size)
+    block = {k: "\n".join(f"The {k} says {x} here" for x in ["one", "two", "three"][:size]) for k in ("header", "notice", "footer")}
+    body = [(own_words(rnd, 30), own_words(rnd, 30)) for _ in range(30)]
+    rows = [(i, f"{block['header']}\n{a}\n{block['notice']}\n{b}\n{block['footer']}") for i, (a, b) in enumerate(body)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_templates.drop_lines(docs).collect()} == {i: f"{a}\n{b}" for i, (a, b) in enumerate(body)}
+
+
+def test_lines_of_near_copies_stay(spark):
+    rnd = random.Random(4)
+    base = [own_words(rnd, 12) for _ in range(20)]
+    rows = []
+    for i in range(60):  # one word of each differs, in another line
+        own = list(base)
+        own[i % 20] = own[i % 20].replace(own[i % 20].split()[i // 20], own_words(rnd, 1), 1)
+        rows.append((i, "\n".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_templates.drop_lines(docs).collect()} == dict(rows)
