@@ -10,11 +10,10 @@ lines make templates in two ways:
   when at least ``MIN_CONSTANT`` per cent of its positions, and four, are constant;
   a line is of it when all constant positions agree.
 
-A template recurs when at least ``min_docs`` documents hold it, of at least
-``min_docs`` different groups of copies and of different ones for a quarter of these
-documents at least. So a header, footer or notice recurs, of one line or many, while
-the body of a document that was copied a thousand times does not: copies are left
-whole for near-duplicate removal.
+A template recurs when documents of at least ``min_docs`` different groups of copies
+hold it, however many copies each group has. So a header, footer or notice recurs, of
+one line or many, while the body of a document that was copied a thousand times does
+not: copies are left whole for near-duplicate removal.
 
 Copies are documents whose lines have the same exact templates, and those linked by
 near copies: each text's 5-word shingles, digit fields masked, make a sketch of
@@ -186,9 +185,8 @@ def copies(docs: DataFrame) -> DataFrame:
 def _recurring(seen: DataFrame, key: str, min_docs: int, groups: DataFrame) -> DataFrame:
     """Keys of (key, doc, whole) rows that recur."""
     once = seen.groupBy(key, "doc").agg(F.min("whole").alias("node")).join(groups, "node", "left")
-    by_group = once.groupBy(key, F.coalesce("label", "node").alias("copies")).agg(F.count(F.lit(1)).alias("n"))
-    return (by_group.groupBy(key).agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_groups"))
-            .where(f"n_docs >= {min_docs} AND n_groups >= {min_docs} AND 4 * n_groups >= n_docs").select(key))
+    by_group = once.select(key, F.coalesce("label", "node").alias("copies")).distinct()
+    return by_group.groupBy(key).agg(F.count(F.lit(1)).alias("n_groups")).where(f"n_groups >= {min_docs}").select(key)
 
 
 def _blocks(df: DataFrame, key: str, n: int) -> Iterator:

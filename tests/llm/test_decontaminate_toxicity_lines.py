@@ -218,3 +218,11 @@ def test_lines_of_near_copies_stay(spark):
         rows.append((i, "\n".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_templates.drop_lines(docs).collect()} == dict(rows)
+
+
+def test_lines_of_many_copies_each_go(spark):
+    rnd = random.Random(5)
+    body = [own_words(rnd, 40) for _ in range(40)]
+    rows = [(100 * i + k, f"{b}\nThe footer of this site") for i, b in enumerate(body) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.text for r in line_templates.drop_lines(docs).collect()} == set(body)
