@@ -3,11 +3,11 @@
 Character model. Trigrams of letters (a-z, the Latin-1 letters, and a boundary) are
 counted over all training texts; the table has a fixed size, whatever the corpus.
 
-Channel. A token that looks disguised (symbols or digits among letters, a letter
-three times in a row, single letters with blanks or marks between) becomes a
-lattice: each written character may stand for itself, for letters that it mimics,
+Channel. A token that may be read in another way (with a doubled letter, a mimic or a
+mark, or three or more single characters with blanks between) becomes a lattice: each written character may stand for itself, for letters that it mimics,
 or, if it repeats or separates, for nothing, each at a cost. Viterbi search finds
-the cheapest reading under the character model.
+the cheapest reading under the character model, in pieces that overlap if the token
+is long. Other tokens have one reading, themselves.
 
 Word model. Features are the restored word and its first four to six letters. From
 labelled rows, at most ``max_labels`` (spread by hash, one for each group of near
@@ -57,8 +57,10 @@ for _c, _i in CODE.items():
     _CODES[ord(_c)] = _i
 #: Costs of the channel, in nats.
 COST_MIMIC, COST_REPEAT, COST_MARK, COST_KEEP = 0.6, 0.2, 0.2, 6.0
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S(?!\S)){3,}")
-_RUN = re.compile(r"([a-z])\1\1")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_OTHER = re.compile("[" + re.escape("".join(MIMICS) + MARKS) + "]")
+PIECE, OVERLAP = 200, 40
 _CACHE = 200_000
 
 
@@ -111,17 +113,8 @@ class CharModel:
 
 
 def looks_disguised(core: str) -> bool:
-    """Letters mixed with mimics or marks, or a letter three times in a row."""
-    if core.isalpha():
-        return bool(_RUN.search(core))
-    letters = sum(map(str.isalpha, core))
-    return letters >= 1 and letters + sum(c in MIMICS or c in MARKS for c in core) == len(core) and len(core) <= 64
-
-
-def has_runs(low: str) -> bool:
-    """Whether an ASCII letter stands three times in a row anywhere."""
-    b = np.frombuffer(low.encode("utf-8", "replace"), dtype=np.uint8)
-    return bool(((b[2:] == b[1:-1]) & (b[2:] == b[:-2]) & (b[2:] >= 97) & (b[2:] <= 122)).any())
+    """A doubled letter, a mimic or a mark: the channel may read it in another way."""
+    return bool(_DOUBLE.search(core) or not core.isalpha() and _OTHER.search(core))
 
 
 class Reader:
@@ -137,7 +130,11 @@ class Reader:
             return ()
         if not looks_disguised(wide):
             return (core,)
-        return tuple({core, *self.model.restore(wide).split(), *self.model.restore(core).split()})
+        return tuple({core, *self.pieces(wide), *(self.pieces(core) if core != wide else ())})
+
+    def pieces(self, written: str) -> set[str]:
+        """Words of the cheapest reading; what is long is read in pieces that overlap."""
+        return {w for at in range(0, len(written), PIECE) for w in self.model.restore(written[max(0, at - OVERLAP):at + PIECE]).split()}
 
     def word(self, token: str) -> tuple[str, ...]:
         if (got := self.known.get(token)) is None:
@@ -147,9 +144,8 @@ class Reader:
         return got
 
     def spaced(self, low: str) -> set[str]:
-        """Words spelt in single letters with blanks between; a long run is read in pieces that overlap."""
-        return {w for m in _SPACED.finditer(low) for at in range(0, len(m[0]), 200)
-                for w in self.model.restore(m[0][max(0, at - 40):at + 200]).split()}
+        """Words spelt in single characters with blanks between, one or many."""
+        return {w for m in _SPACED.finditer(low) for w in self.pieces(" ".join(m[0].split()))}
 
     def words(self, text: str | None) -> set[str]:
         low = (text or "").lower()
@@ -178,10 +174,9 @@ class Model:
 
         def score(text: str | None) -> float:
             low, hits = (text or "").lower(), {}
-            runs = has_runs(low)
             for t in set(low.split()):
                 core = t.strip(_PLAIN)
-                if core.isalpha() and not runs:
+                if core.isalpha() and not _DOUBLE.search(core):
                     if core in whole:
                         hits[core] = share(core)
                         continue

@@ -226,3 +226,14 @@ def test_lines_of_many_copies_each_go(spark):
     rows = [(100 * i + k, f"{b}\nThe footer of this site") for i, b in enumerate(body) for k in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.text for r in line_templates.drop_lines(docs).collect()} == set(body)
+
+
+@pytest.mark.parametrize("text", ["iddiot", "such a stuupid", "worrthless", "i  d  i  o  t", "i\td\ti\to\tt", "s t u p i d", "i" + "." * 70 + "diot", "zz%id1ot"])
+def test_toxicity_reads_doubled_spaced_and_long(model, text):
+    assert model.scorer()(text) >= 0.5
+
+
+def test_channel_reads_tokens_without_letters_and_short_spaced_words(model):
+    reader = toxicity.Reader(toxicity.CharModel(model.counts))
+    assert len(reader.word("1010")) > 1 and any(w.isalpha() for w in reader.word("1010"))
+    assert reader.spaced("t a i") and reader.spaced("t \t a  i") == reader.spaced("t a i")
