@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, cdc_dedup, decontaminate, hmm_lm, jaccard_join, line_templates, quality_cascade, suffix_dedup, toxicity, warc
+from tessera.llm import byte_bpe, cdc_dedup, decontaminate, hmm_lm, jaccard_join, line_templates, quality_cascade, secret_scan, spelling_groups, suffix_dedup, token_alignment, toxicity, warc
 from tessera.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,43 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and dropped lines of each document, and a digest of what is kept."""
     out = line_templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines_col="n_lines", n_dropped_col="n_dropped")
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op11_spelling_groups")
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, their counts, near words, forms and roots, one row a word."""
+    return spelling_groups.group(table(spark, sf_dir, "documents"))
+
+
+_SECRET_KINDS = "\nUNION ALL ".join(
+    f"SELECT r, doc_id, source, {k} AS kind, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {g}) AS vals FROM d"
+    for k, (p, g) in enumerate([(secret_scan.ASSIGN.replace("'", "''"), 2), (secret_scan.ACCESS, 0), (secret_scan.HEX, 0), (secret_scan.OWNED, 0)]))
+
+
+@query("op12_secret_scan", f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+h AS ({_SECRET_KINDS}),
+u AS (SELECT r, doc_id, source, kind, unnest(range(len(hits))) AS pos, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[1:len(hits)]) AS gap FROM h WHERE len(hits) > 0),
+e AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind ORDER BY pos) AS BIGINT) AS stop FROM u),
+s AS (SELECT r, doc_id, source, kind, stop - length(hit) AS start, stop, val,
+        regexp_matches(val, '{secret_scan.PLACEHOLDERS}') AS plain, regexp_matches(val, '[0-9]') AS digit, regexp_matches(val, '[a-z]') AS low, regexp_matches(val, '[A-Z]') AS up
+      FROM e WHERE kind > 0 OR length(val) >= 8),
+b AS (SELECT * FROM s WHERE kind < 3 OR digit AND low AND up AND NOT plain AND NOT EXISTS (SELECT 1 FROM s AS o WHERE o.r = s.r AND o.kind < 3 AND o.start < s.stop AND o.stop > s.start)),
+o AS (SELECT val, count(*) AS n_owners FROM (SELECT DISTINCT val, source FROM b) GROUP BY val),
+j AS (SELECT b.*, CASE WHEN plain OR n_owners >= {secret_scan.WIDE_OWNERS} THEN 'example' WHEN n_owners = 1 AND digit AND (low OR up) THEN 'live' ELSE 'shared' END AS verdict,
+        (['assign', 'access', 'hex', 'owned'])[kind + 1] || ':' || start || ':' || stop AS said FROM b JOIN o USING (val)),
+k AS (SELECT * FROM j WHERE kind < 3 OR verdict = 'live')
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owned,
+  sha256(coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans,
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'shared') AS n_shared, count(*) FILTER (verdict = 'example') AS n_example
+FROM d LEFT JOIN k ON d.r = k.r GROUP BY d.r""")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by kind, a digest of the base spans, all spans, and verdicts by ownership, one row a document."""
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers, and how common the linked pairs are, one row a document."""
+    docs = table(spark, sf_dir, "documents")
+    return token_alignment.report(docs.select(F.col("doc_id").cast("long"), "text"))
