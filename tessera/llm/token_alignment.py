@@ -241,15 +241,14 @@ class Aligner:
             overs = np.bincount(of, minlength=len(parts)).tolist()
         else:
             overs = [n_over]
-        each = self.split(links, a_at, b_at, ends, len(parts)) if len(parts) > 1 else [tuple(map(np.concatenate, zip(*links.blocks())))]
+        each = self.split(links, a_at, b_at, ends, len(parts)) if len(parts) > 1 else [tuple(np.concatenate(v).tobytes() for v in zip(*links.blocks()))]
         for k, s in enumerate(parts):
             g0, g1 = int(ends[k]), int(ends[k + 1])
-            self.known[s] = (";".join(groups[g0:g1]), int(a_at[k + 1] - a_at[k]), int(b_at[k + 1] - b_at[k]), g1 - g0, int(n_links[g1] - n_links[g0]), overs[k],
-                             each[k][0].tobytes(), each[k][1].tobytes())
+            self.known[s] = (";".join(groups[g0:g1]), int(a_at[k + 1] - a_at[k]), int(b_at[k + 1] - b_at[k]), g1 - g0, int(n_links[g1] - n_links[g0]), overs[k], *each[k])
 
     @staticmethod
     def split(links: Links, a_at, b_at, ends, n: int):
-        """Pairs of each of many short segments: row products of group incidence, an A token a row, then added up by segment and pair."""
+        """Pairs and their numbers, in bytes, of each of many short segments: row products of group incidence, an A token a row, then added up by segment and pair."""
         a_start, groups = np.arange(len(links.a) + 1), len(links.cuts)
         b_start = _starts(links.b_group, groups)
         ones_a, ones_b = np.ones(len(links.a), dtype=np.int64), np.ones(len(links.b), dtype=np.int64)
@@ -261,7 +260,8 @@ class Aligner:
         cut = np.flatnonzero(np.concatenate(([True], (seg[1:] != seg[:-1]) | (pair[1:] != pair[:-1]))))
         seg, pair, val = seg[cut], pair[cut], np.add.reduceat(val, cut)
         at = np.searchsorted(seg, np.arange(n + 1))
-        return [(pair[x:y], val[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+        at, pair, val = (8 * at).tolist(), pair.tobytes(), val.tobytes()
+        return [(pair[x:y], val[x:y]) for x, y in zip(at, at[1:])]
 
     def align(self, segments: list[str]):
         """(n_a, n_b, n_groups, n_links, n_overlaps, digest, pairs, counts) of a text of known segments; None if one isn't aligned."""
