@@ -197,7 +197,7 @@ def _best(rows: pa.RecordBatch) -> pa.RecordBatch | None:
     """word, n_near, form_n, form of the words of a batch of whole groups, a row a group."""
     words, n = rows.column(1), rows.column(2).to_numpy()
     meta = rows.column(3).to_numpy().astype(np.int64)
-    found = list(_near(words, meta & 1, meta >> 3, meta >> 1 & 3, rows.column(0).to_numpy()))
+    found = [f for f in _near(words, meta & 1, meta >> 3, meta >> 1 & 3, rows.column(0).to_numpy()) if len(f[0])]
     if not found:
         return None
     x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
@@ -242,7 +242,9 @@ def near_words(words: DataFrame) -> DataFrame:
         if held and (out := _best(pa.concat_batches(held))):
             yield out
 
-    signed = words.mapInArrow(sign, "key bigint, word binary, n bigint, meta int")
+    # a small table that grows twentyfold: as many tasks sign it as will read the keys
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = words.repartition(parts).mapInArrow(sign, "key bigint, word binary, n bigint, meta int")
     near = signed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "word binary, n_near bigint, form_n bigint, form binary")
     rows = near.select("word", F.lit(None).cast("long").alias("n"), "n_near", F.struct((-F.col("form_n")).alias("m"), "form").alias("best"))
     rows = rows.unionByName(words.select("word", "n", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast(rows.schema["best"].dataType).alias("best")))

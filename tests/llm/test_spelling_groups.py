@@ -111,3 +111,14 @@ def test_each_near_pair_is_found_once():
         got[w] += n_near
     want = Counter(x for i, a in enumerate(words) for b in words[i + 1:] if sg.one_edit(*sorted((a, b), key=len)) for x in (a, b))
     assert got == want
+
+
+def test_a_batch_whose_pairs_all_count_elsewhere_gives_nothing():
+    words = [b"abcdefg", b"abcdefh"]
+    by = [{(r, win, p): k for k, r, win, p in sg.signatures(w)} for w in words]
+    shared = [(k, s) for s, k in by[0].items() if by[1].get(s) == k]
+    outs = []
+    for k, (role, win, p) in shared:
+        batch = pa.RecordBatch.from_arrays([pa.array([k, k]), pa.array(words, pa.binary()), pa.array([5, 2]), pa.array([win << 3 | p << 1 | role] * 2, pa.int32())], names=["key", "word", "n", "meta"])
+        outs.append(sg._best(batch))
+    assert len(shared) > 1 and sum(o is not None for o in outs) == 1
