@@ -128,4 +128,5 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
     """The documents that contain no item."""
-    return annotate(docs, items, leaks_col="_leaks", **more).where(F.size("_leaks") == 0).drop("_leaks")
+    name = "leaks" + "_" * max(map(len, docs.columns))  # longer than any column
+    return annotate(docs, items, leaks_col=name, **more).where(F.size(name) == 0).drop(name)

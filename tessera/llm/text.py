@@ -19,6 +19,7 @@ from tessera.session import shared_dir
 
 SHINGLE_WORDS = 5
 MAX_BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -115,6 +116,11 @@ def small_slices(batch: pa.RecordBatch, limit: int = MAX_BATCH_BYTES) -> Iterato
         yield batch.slice(at, step)
 
 
+def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """From now on Spark hands Python workers at most ``limit`` bytes (or one row) at a time, not 10,000 whole documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -6,12 +6,12 @@ counted over all training texts; the table has a fixed size, whatever the corpus
 Channel. A token that may be read in another way (with a doubled letter, a mimic or a
 mark, or three or more single characters with blanks between) becomes a lattice: each written character may stand for itself, for letters that it mimics,
 or, if it repeats or separates, for nothing, each at a cost. Viterbi search finds
-the cheapest reading under the character model, in pieces that overlap if the token
-is long. Other tokens have one reading, themselves.
+the cheapest reading of the whole token under the character model, however long it is.
+Other tokens have one reading, themselves.
 
 Word model. Features are the restored word and its first four to six letters. From
-labelled rows, at most ``max_labels`` (spread by hash, one for each group of near
-copies), each feature gets the share of toxic rows among those that hold it; it
+labelled rows, at most ``max_labels`` (spread by hash, one id for each group of near
+copies; rows that repeat that id count each), each feature gets the share of toxic rows among those that hold it; it
 counts if that share is at least ``MIN_SHARE`` per cent, unless chance alone would give
 more than ``MAX_CHANCE`` of the features found so, among those held by as many rows,
 and if at least ``LEAST`` rows hold it. A text's score is a noisy or: 1 - (1 - base) * product of (1 - share), a word
@@ -40,7 +40,6 @@ from tessera.llm.text import lower_bytes, materialize, mix64, shingle_hashes, sm
 MAX_LABELS = 40_000
 MIN_SHARE = 97  # per cent
 MAX_CHANCE, LEAST, SURE = 0.01, 5, 32
-MAX_FEATURES = 50_000
 PREFIXES = (4, 5, 6)
 #: Letters that a written character may mimic: fixed values.
 MIMICS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il",
@@ -60,7 +59,6 @@ COST_MIMIC, COST_REPEAT, COST_MARK, COST_KEEP = 0.6, 0.2, 0.2, 6.0
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _OTHER = re.compile("[" + re.escape("".join(MIMICS) + MARKS) + "]")
-PIECE, OVERLAP = 200, 40
 _CACHE = 200_000
 
 
@@ -70,6 +68,14 @@ def trigram_counts(texts: list[str]) -> np.ndarray:
     return np.bincount((c[:-2] * K + c[1:-1]) * K + c[2:], minlength=K ** 3)
 
 
+def _spelt(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, letter = chain
+        out.append(letter)
+    return "".join(out[::-1])
+
+
 class CharModel:
     """-log P(letter | two before), add-one smoothed with a back-off to bigrams."""
 
@@ -83,7 +89,7 @@ class CharModel:
 
     def restore(self, written: str) -> str:
         """The cheapest reading of a written token."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # readings are chains (rest, last letter) that share their heads
         before = ""
         for ch in written:
             options: list[tuple[str, float]] = []
@@ -98,18 +104,18 @@ class CharModel:
                 if ch in MARKS:
                     options.append(("", COST_MARK))
                 options.append((" ", COST_KEEP if ch != " " else 1.0))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, said) in best.items():
                 for out, extra in options:
                     if out:
                         c = CODE.get(out, 0)
-                        state, total, text = (b, c), cost + extra + self.cost[a, b, c], said + out
+                        state, total, text = (b, c), cost + extra + self.cost[a, b, c], (said, out)
                     else:
                         state, total, text = (a, b), cost + extra, said
                     if state not in after or total < after[state][0]:
                         after[state] = (total, text)
             best, before = after, ch
-        return min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in best.items())[1].strip()
+        return min((cost + self.cost[a, b, 0], _spelt(said)) for (a, b), (cost, said) in best.items())[1].strip()
 
 
 def looks_disguised(core: str) -> bool:
@@ -133,8 +139,8 @@ class Reader:
         return tuple({core, *self.pieces(wide), *(self.pieces(core) if core != wide else ())})
 
     def pieces(self, written: str) -> set[str]:
-        """Words of the cheapest reading; what is long is read in pieces that overlap."""
-        return {w for at in range(0, len(written), PIECE) for w in self.model.restore(written[max(0, at - OVERLAP):at + PIECE]).split()}
+        """Words of the cheapest reading."""
+        return set(self.model.restore(written).split())
 
     def word(self, token: str) -> tuple[str, ...]:
         if (got := self.known.get(token)) is None:
@@ -234,17 +240,17 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in small_slices(whole):
-                y = [marks.value.get(i, -1) for i in b.column(0).to_pylist()]
-                use = pa.array([v >= 0 for v in y])
-                texts = b.column(1).filter(use).to_pylist()
-                least = [least_hashes(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array([v for v in y if v >= 0], pa.int32()), pa.array(texts, pa.string()),
-                                                  *(pa.array([x[k] for x in least], pa.int64()) for k in range(3))], names=["y", "text", "a", "b", "c"])
-
-    # one row for each group of near copies: those that share a smallest shingle hash, of three
-    rows = train.mapInArrow(pick, "y int, text string, a bigint, b bigint, c bigint")
+                use = pa.array([i in marks.value for i in b.column(0).to_pylist()], pa.bool_())
+                ids, least = b.column(0).filter(use), [least_hashes(t or "") for t in b.column(1).filter(use).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([marks.value[i] for i in ids.to_pylist()], pa.int32()),
+                                                  *(pa.array([x[k] for x in least], pa.int64()) for k in range(3))], names=["id", "y", "a", "b", "c"])
+
+    # one id for each group of near copies: those that share a smallest shingle hash, of three; texts stay where they are
+    id_type = train.schema["id"].dataType.simpleString()
+    rows = train.mapInArrow(pick, f"id {id_type}, y int, a bigint, b bigint, c bigint")
     for key, rest in (("a", ["b", "c"]), ("b", ["c"]), ("c", [])):
-        rows = rows.groupBy(key).agg(F.max(F.struct("y", "text", *rest)).alias("r")).select("r.*")
+        rows = rows.groupBy(key).agg(F.max(F.struct("y", "id", *rest)).alias("r")).select("r.*")
+    chosen = spark.sparkContext.broadcast({r.id for r in rows.select("id").collect()})  # no more than labels
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen, toxic, docs_n = Reader(CharModel(table.value)), Counter(), Counter(), [0, 0]
@@ -257,7 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
         for whole in batches:
             for b in small_slices(whole, 2 << 20):
-                for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if i not in chosen.value:
+                        continue
+                    y = marks.value[i]
                     own = {f for w in reader.words(text) for f in features(w)}
                     seen.update(own)
                     docs_n[y] += 1
@@ -268,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         seen[""], toxic[""] = sum(docs_n), docs_n[1]
         yield flush()
 
-    by = rows.mapInArrow(tally, "f string, n bigint, t bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    by = train.mapInArrow(tally, "f string, n bigint, t bigint").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     by = materialize(by, "features")
     size = by.where("f = ''").first()
     if size is None or not size.n or not size.t:
@@ -278,15 +287,16 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     # for each number of rows: features with it, and toxic ones among them against what chance would give
     seen = by.where("f <> ''").groupBy(F.least("n", F.lit(SURE)).alias("n")).agg(F.count(F.lit(1)).alias("all"), F.count(F.when(toxic, 1)).alias("toxic")).collect()
     trusted = [r.n for r in seen if r.toxic and r.n >= LEAST and (r.n == SURE or r.all * base ** math.ceil(r.n * MIN_SHARE / 100) <= MAX_CHANCE * r.toxic)]
-    keep = by.where(toxic & (F.col("f") != "") & F.least("n", F.lit(SURE)).isin(trusted)).orderBy(F.desc("t"), "f").limit(MAX_FEATURES).collect()
+    keep = by.where(toxic & (F.col("f") != "") & F.least("n", F.lit(SURE)).isin(trusted)).collect()  # of at most max_labels rows
     return Model(counts, {r.f: (r.t + 0.1) / (r.n + 1.0) for r in keep}, 0.5 * size.t / size.n)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` and ``score_col``, in one narrow pass."""
-    src = docs.drop(score_col).withColumn("__text", F.col(f"`{text_col}`").cast("string"))
+    kept = [c for c in docs.columns if c != score_col]
+    names = [f"k{i}" for i in range(len(kept))]
+    src = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(kept, names)], F.col(f"`{text_col}`").cast("string").alias("text_in"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"k{i}" for i in range(len(src.columns) - 1)]
     spec = "".join(f"{k} {f.dataType.simpleString()}, " for k, f in zip(names, src.schema)) + "s double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,5 +305,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             for b in small_slices(whole):
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(fn, b.column(b.num_columns - 1).to_pylist()), pa.float64())], names=[*names, "s"])
 
-    out = src.toDF(*names, "text_in").mapInArrow(run, spec)
-    return out.toDF(*src.columns[:-1], score_col)
+    return src.mapInArrow(run, spec).toDF(*kept, score_col)

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,3 +238,27 @@ def test_channel_reads_tokens_without_letters_and_short_spaced_words(model):
     reader = toxicity.Reader(toxicity.CharModel(model.counts))
     assert len(reader.word("1010")) > 1 and any(w.isalpha() for w in reader.word("1010"))
     assert reader.spaced("t a i") and reader.spaced("t \t a  i") == reader.spaced("t a i")
+
+
+def test_columns_with_names_of_our_own_stay(spark, tmp_path):
+    """Columns named like those that an operator might add come back as they were."""
+    import corpus_pipeline
+    model = toxicity.Model(np.zeros(toxicity.K ** 3, dtype=np.int64), {"idiot": 0.9}, 0.0)
+    docs = spark.createDataFrame([(1, "you idiot", "a", 5, "n", 0.1), (2, "fine", "b", 6, "m", 0.2)], "doc_id long, text string, __text string, k0 int, _leaks string, __toxicity double")
+    out = toxicity.score(docs, model)
+    assert out.columns == [*docs.columns, "score"]
+    assert sorted((r.doc_id, r.text, r["__text"], r.k0, round(r.score, 3)) for r in out.collect()) == [(1, "you idiot", "a", 5, 0.9), (2, "fine", "b", 6, 0.0)]
+    items = spark.createDataFrame([(7, "fine")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.clean(docs, items).collect()] == [(1, "you idiot", "a", 5, "n", 0.1)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_long_tokens_are_read_whole():
+    """A token of any length has the reading of its whole lattice: no word of a piece appears."""
+    rnd = np.random.default_rng(2)
+    texts = [" ".join(rnd.choice(["stupid", "person", "noble", "idea", "garden"], 30)) for _ in range(50)]
+    reader = toxicity.Reader(toxicity.CharModel(toxicity.trigram_counts(texts)))
+    for n in (5, 40, 400):  # either side of 200 characters
+        said = reader.model.restore("st00pid" * n)
+        assert reader.pieces("st00pid" * n) == set(said.split()) and len(said) >= 6 * n
