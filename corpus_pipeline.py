@@ -14,34 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, decontaminate, jaccard_join, line_templates, toxicity
-from tessera.llm.text import materialize, table
+from tessera.llm.text import bound_batches, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 stay."""
+    bound_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score_col="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    name = "toxicity" + "_" * max(map(len, docs.columns))  # longer than any column
+    return toxicity.score(docs, model, score_col=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the lines of templates that recur; n_chars follows the text."""
+    bound_batches(spark)
     out = line_templates.drop_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the least id stays."""
+    bound_batches(spark)
     rest = jaccard_join.join_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(jaccard_join.small(materialize(rest, "duplicates")), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item stay."""
+    bound_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of ids and decoded bytes of every document."""
+    bound_batches(spark)
     ranks = public_tokenizers.path(byte_bpe.RANKS)
     return byte_bpe.digests(byte_bpe.encode(docs, ranks, keep=["doc_id"]), ranks)
 
