@@ -31,10 +31,10 @@ def _ij(i, j):
 
 
 def uniform_value(seed: int, i: Column | None = None, j: Column | None = None) -> Column:
-    """Double in [0, 1): top 53 bits of xxhash64(i, j, seed)."""
+    """Double in [0, 1): the first 52 bits of md5('i,j,seed'), which any SQL engine can repeat."""
     i, j = _ij(i, j)
-    h = F.xxhash64(i.cast("bigint"), j.cast("bigint"), F.lit(seed).cast("bigint"))
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0 ** -53)
+    h = F.md5(F.concat_ws(",", i.cast("bigint").cast("string"), j.cast("bigint").cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double") * F.lit(2.0 ** -52)
 
 
 def binary_value(seed: int, k: int = 2, i: Column | None = None, j: Column | None = None) -> Column:
