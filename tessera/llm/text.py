@@ -6,6 +6,7 @@ Words are the runs ``[^\\x20\\x09-\\x0D]+``; on UTF-8 bytes that is exactly what
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import shared_dir
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
 SHINGLE_WORDS = 5
 MAX_BATCH_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
@@ -114,11 +116,20 @@ def small_slices(batch: pa.RecordBatch, limit: int = MAX_BATCH_BYTES) -> Iterato
     step = max(1, min(batch.num_rows, int(batch.num_rows * limit / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
+    give_back()
 
 
 def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """From now on Spark hands Python workers at most ``limit`` bytes (or one row) at a time, not 10,000 whole documents."""
+    """From now on whole documents move in small batches: at most ``limit`` bytes (or one row) to a Python worker at once, and 512 rows from Parquet."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
