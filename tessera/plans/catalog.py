@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.coefficients import coefficient_frames
 from tessera.functions.expressions import padded_size, path_m, path_parent
-from tessera.operators import algebra, blocks, dispatch, layout, products, sparse_tiles, strassen
+from tessera.operators import algebra, blocks, dispatch, layout, panels, products, sparse_tiles, strassen
 from tessera.operators.dispatch import matmul
 from tessera.operators.layout import shape_of
 from tessera.plans import oracle as sq
@@ -269,6 +269,12 @@ def q_matmul_sparse_tiles(spark, sf):
     return sparse_tiles.matmul_sparse_tiles(sp, algebra.transpose(sp))
 
 
+def q_matmul_panels(spark, sf):
+    """SP * SP^T in column panels of SP^T, each at most a quarter of its cells, though all of it would fit."""
+    sp = tables.supplier_part(spark, sf)
+    return panels.matmul_panels(sp, algebra.transpose(sp), max_cells=sp.count() // 4 + 1)
+
+
 # ---------------------------------------------------------------- generators
 def q_generate_formula(spark, sf):
     return _f(_e(spark, sf))
@@ -354,6 +360,7 @@ QUERIES = {
     "generate_binary": q_generate_binary,
     "generate_uniform": q_generate_uniform,
     "matmul_sparse_tiles": q_matmul_sparse_tiles,
+    "matmul_panels": q_matmul_panels,
     "parquet_roundtrip": q_parquet_roundtrip,
     "matmul_auto_exact": q_matmul_auto_exact,
     "matmul_rows_broadcast": q_matmul_rows_broadcast,
@@ -436,6 +443,7 @@ def _oracle() -> dict[str, str]:
     o["matmul_identity"] = sq.nonzero(E)
     o["matmul_auto"] = sq.product(SP, sq.t(SP))
     o["matmul_sparse_tiles"] = sq.product(SP, sq.t(SP))
+    o["matmul_panels"] = sq.product(SP, sq.t(SP))
     o["generate_uniform"] = (f"SELECT i, j, CAST(('0x' || substr(md5(concat_ws(',', i, j, {SEED})), 1, 13)) AS BIGINT) * pow(2.0, -52) AS v "
                              f"FROM ({E})")
     o["generate_formula"] = FM
