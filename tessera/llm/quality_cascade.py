@@ -95,6 +95,11 @@ class Text:
     def n_capitals(self) -> int:
         return len(self.raw) - len(self.raw.translate(None, _CAPITALS))
 
+    @cached_property
+    def n_distinct_near(self) -> int:
+        """Distinct words of each run of 1,000 words, added up: a share of all words that means the same at every length."""
+        return sum(len(set(self.words[at:at + 1000])) for at in range(0, self.n_words, 1000))
+
     @cached_property
     def n_small_letters(self) -> int:
         return len(self.raw) - len(self.raw.translate(None, _SMALL))
@@ -122,7 +127,7 @@ RULES = (
     Rule("ellipses", lambda t: 10 * sum(x.endswith((b"...", "…".encode())) for x in map(bytes.strip, t.lines)) > 3 * len(t.lines)),
     Rule("bullets", lambda t: 10 * sum(x.lstrip().startswith((b"- ", b"* ", "•".encode())) for x in t.lines) > 9 * len(t.lines)),
     Rule("digits", lambda t: 4 * sum(map(t.text.count, "0123456789")) > t.word_chars),
-    Rule("few_distinct_words", lambda t: t.n_words <= 2000 and 5 * len(set(t.words)) < t.n_words),
+    Rule("few_distinct_words", lambda t: 5 * t.n_distinct_near < t.n_words),
     Rule("capitals", lambda t: t.n_capitals > t.n_small_letters),
     Rule("words_with_letters", lambda t: 10 * t.n_letter_words < 8 * t.n_words),
 )

@@ -152,3 +152,12 @@ def test_warc_reader_skips_damage(tmp_path):
         with open(path, "rb") as f:
             got = [r["record_id"] for s in range(0, size, step) for _, r in warc.read_range(f, s, min(size, s + step))]
         assert got == ["0", "2", "3"]
+
+
+def test_few_distinct_words_means_the_same_at_every_length():
+    rule = next(r for r in quality_cascade.RULES if r.name == "few_distinct_words")
+    rnd = random.Random(4)
+    few, many = [f"w{i}" for i in range(90)], [f"w{i}" for i in range(3000)]
+    for n in (600, 1900, 2100, 50_000):
+        assert rule.rejects(quality_cascade.Text(" ".join(rnd.choices(few, k=n))))
+        assert not rule.rejects(quality_cascade.Text(" ".join(rnd.choices(many, k=n))))
