@@ -23,6 +23,7 @@ from tessera.functions.expressions import padded_size, path_m, path_parent
 from tessera.operators import algebra, blocks, dispatch, layout, panels, products, sparse_tiles, strassen
 from tessera.operators.dispatch import matmul
 from tessera.operators.layout import shape_of
+from tessera.operators.verify import check_product
 from tessera.plans import oracle as sq
 from tessera.session import shared_dir
 from tessera.sources import generate, io, tables
@@ -275,6 +276,13 @@ def q_matmul_panels(spark, sf):
     return panels.matmul_panels(sp, algebra.transpose(sp), max_cells=sp.count() // 4 + 1)
 
 
+def q_product_check(spark, sf):
+    """SP * SP^T, by sparse tiles, checked against random vectors: no second product."""
+    sp = tables.supplier_part(spark, sf)
+    t = algebra.transpose(sp)
+    return check_product(sp, t, sparse_tiles.matmul_sparse_tiles(sp, t))
+
+
 # ---------------------------------------------------------------- generators
 def q_generate_formula(spark, sf):
     return _f(_e(spark, sf))
@@ -361,6 +369,7 @@ QUERIES = {
     "generate_uniform": q_generate_uniform,
     "matmul_sparse_tiles": q_matmul_sparse_tiles,
     "matmul_panels": q_matmul_panels,
+    "product_check": q_product_check,
     "parquet_roundtrip": q_parquet_roundtrip,
     "matmul_auto_exact": q_matmul_auto_exact,
     "matmul_rows_broadcast": q_matmul_rows_broadcast,
@@ -444,6 +453,8 @@ def _oracle() -> dict[str, str]:
     o["matmul_auto"] = sq.product(SP, sq.t(SP))
     o["matmul_sparse_tiles"] = sq.product(SP, sq.t(SP))
     o["matmul_panels"] = sq.product(SP, sq.t(SP))
+    o["product_check"] = (f"SELECT CAST(range AS INTEGER) AS round, (SELECT count(DISTINCT i) FROM ({sq.product(SP, sq.t(SP))})) AS n_rows, "
+                          "CAST(0 AS BIGINT) AS n_wrong FROM range(0, 3)")
     o["generate_uniform"] = (f"SELECT i, j, CAST(('0x' || substr(md5(concat_ws(',', i, j, {SEED})), 1, 13)) AS BIGINT) * pow(2.0, -52) AS v "
                              f"FROM ({E})")
     o["generate_formula"] = FM
