@@ -23,6 +23,7 @@ from tessera.functions.expressions import padded_size, path_m, path_parent
 from tessera.operators import algebra, blocks, dispatch, layout, panels, products, sparse_tiles, strassen
 from tessera.operators.dispatch import matmul
 from tessera.operators.layout import shape_of
+from tessera.operators.repeatable import add_repeatable, matmul_repeatable
 from tessera.operators.verify import check_product
 from tessera.plans import oracle as sq
 from tessera.session import shared_dir
@@ -276,6 +277,20 @@ def q_matmul_panels(spark, sf):
     return panels.matmul_panels(sp, algebra.transpose(sp), max_cells=sp.count() // 4 + 1)
 
 
+def q_sum_repeatable(spark, sf):
+    """Revenue by supplier x part, doubles added without rounding; six decimals are compared."""
+    li = tables.table(spark, sf, "lineitem")
+    cells = li.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    return add_repeatable(cells).select("i", "j", F.round("v", 6).alias("v"))
+
+
+def q_matmul_repeatable(spark, sf):
+    """E^T * E of the embeddings as doubles, the same bits in every run; six decimals are compared."""
+    rows = tables.table(spark, sf, "embeddings").select(F.col("vec_id").cast("bigint").alias("i"), F.col("embedding").cast("array<double>").alias("row"))
+    e = layout.rows_to_cells(rows)
+    return matmul_repeatable(algebra.transpose(e), e).select("i", "j", F.round("v", 6).alias("v"))
+
+
 def q_product_check(spark, sf):
     """SP * SP^T, by sparse tiles, checked against random vectors: no second product."""
     sp = tables.supplier_part(spark, sf)
@@ -370,6 +385,8 @@ QUERIES = {
     "matmul_sparse_tiles": q_matmul_sparse_tiles,
     "matmul_panels": q_matmul_panels,
     "product_check": q_product_check,
+    "sum_repeatable": q_sum_repeatable,
+    "matmul_repeatable": q_matmul_repeatable,
     "parquet_roundtrip": q_parquet_roundtrip,
     "matmul_auto_exact": q_matmul_auto_exact,
     "matmul_rows_broadcast": q_matmul_rows_broadcast,
@@ -455,6 +472,12 @@ def _oracle() -> dict[str, str]:
     o["matmul_panels"] = sq.product(SP, sq.t(SP))
     o["product_check"] = (f"SELECT CAST(range AS INTEGER) AS round, (SELECT count(DISTINCT i) FROM ({sq.product(SP, sq.t(SP))})) AS n_rows, "
                           "CAST(0 AS BIGINT) AS n_wrong FROM range(0, 3)")
+    o["sum_repeatable"] = ("SELECT l_suppkey AS i, l_partkey AS j, round(fsum(l_extendedprice * (1 - l_discount)), 6) AS v FROM lineitem "
+                           "GROUP BY 1, 2 HAVING fsum(l_extendedprice * (1 - l_discount)) <> 0")
+    ed = ("SELECT CAST(vec_id AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(x AS DOUBLE) AS v "
+          "FROM (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(embedding) AS x FROM embeddings)")
+    o["matmul_repeatable"] = (f"SELECT a.j AS i, b.j AS j, round(fsum(a.v * b.v), 6) AS v FROM ({ed}) a JOIN ({ed}) b ON a.i = b.i "
+                              "GROUP BY 1, 2 HAVING fsum(a.v * b.v) <> 0")
     o["generate_uniform"] = (f"SELECT i, j, CAST(('0x' || substr(md5(concat_ws(',', i, j, {SEED})), 1, 13)) AS BIGINT) * pow(2.0, -52) AS v "
                              f"FROM ({E})")
     o["generate_formula"] = FM
