@@ -23,6 +23,7 @@ from tessera.functions.expressions import padded_size, path_m, path_parent
 from tessera.operators import algebra, blocks, dispatch, layout, panels, products, sparse_tiles, strassen
 from tessera.operators.dispatch import matmul
 from tessera.operators.layout import shape_of
+from tessera.operators.estimate import error_bound, output_cells
 from tessera.operators.repeatable import add_repeatable, matmul_repeatable
 from tessera.operators.verify import check_product
 from tessera.plans import oracle as sq
@@ -277,6 +278,23 @@ def q_matmul_panels(spark, sf):
     return panels.matmul_panels(sp, algebra.transpose(sp), max_cells=sp.count() // 4 + 1)
 
 
+def _nation_supplier(spark, sf):
+    return tables.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("bigint").alias("i"), F.col("s_suppkey").cast("bigint").alias("j"),
+                                                      F.lit(1).cast("bigint").alias("v"))
+
+
+def q_output_size(spark, sf):
+    """Cells of SP * SP^T and of nation x supplier * SP, and whether the sketch tells them within three standard errors."""
+    sp, ns = tables.supplier_part(spark, sf), _nation_supplier(spark, sf)
+    out = None
+    for name, a, b in (("SP*SPt", sp, algebra.transpose(sp)), ("NS*SP", ns, sp)):
+        made = matmul(a, b, strategy="sparse_tiles").agg(F.count(F.lit(1)).alias("n_cells"))
+        off = F.abs(F.col("n_cells") - F.lit(output_cells(a, b))) <= 3 * error_bound() * F.col("n_cells")
+        made = made.select(F.lit(name).alias("product"), "n_cells", off.alias("within"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def q_sum_repeatable(spark, sf):
     """Revenue by supplier x part, doubles added without rounding; six decimals are compared."""
     li = tables.table(spark, sf, "lineitem")
@@ -385,6 +403,7 @@ QUERIES = {
     "matmul_sparse_tiles": q_matmul_sparse_tiles,
     "matmul_panels": q_matmul_panels,
     "product_check": q_product_check,
+    "output_size": q_output_size,
     "sum_repeatable": q_sum_repeatable,
     "matmul_repeatable": q_matmul_repeatable,
     "parquet_roundtrip": q_parquet_roundtrip,
@@ -472,6 +491,9 @@ def _oracle() -> dict[str, str]:
     o["matmul_panels"] = sq.product(SP, sq.t(SP))
     o["product_check"] = (f"SELECT CAST(range AS INTEGER) AS round, (SELECT count(DISTINCT i) FROM ({sq.product(SP, sq.t(SP))})) AS n_rows, "
                           "CAST(0 AS BIGINT) AS n_wrong FROM range(0, 3)")
+    ns = "SELECT CAST(s_nationkey AS BIGINT) AS i, CAST(s_suppkey AS BIGINT) AS j, CAST(1 AS BIGINT) AS v FROM supplier"
+    o["output_size"] = " UNION ALL ".join(f"SELECT '{name}' AS product, count(*) AS n_cells, TRUE AS within FROM ({c})"
+                                          for name, c in (("SP*SPt", sq.product(SP, sq.t(SP))), ("NS*SP", sq.product(ns, SP))))
     o["sum_repeatable"] = ("SELECT l_suppkey AS i, l_partkey AS j, round(fsum(l_extendedprice * (1 - l_discount)), 6) AS v FROM lineitem "
                            "GROUP BY 1, 2 HAVING fsum(l_extendedprice * (1 - l_discount)) <> 0")
     ed = ("SELECT CAST(vec_id AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(x AS DOUBLE) AS v "
