@@ -15,6 +15,8 @@ from tessera.sources import generate
 
 ROWS_SCHEMA = "i BIGINT, row ARRAY<{t}>"
 MAX_FILES = 1_000_000
+#: Columns of a record of a sparse row table.
+SEGMENT = 1 << 16
 
 
 def write_rows(cells: DataFrame, path: str, ncols: int | None = None, mode: str = "overwrite",
@@ -50,6 +52,28 @@ def read_cells(spark: SparkSession, path: str, value_type: str = "double") -> Da
     return rows_to_cells(read_rows(spark, path, value_type))
 
 
+def write_sparse_rows(cells: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+    """CELLS -> sparse ROWS (i, seg, js, vs) -> Parquet, clustered by ``i``: the size follows the cells, not the shape.
+
+    A row is stored in segments of ``SEGMENT`` columns, so one with very many cells is many records.
+    Cells of one coordinate are kept as they are.
+    """
+    keys = [*(partition_by or []), "i"]
+    cells = cells.withColumn("seg", F.floor(F.col("j") / SEGMENT).cast("bigint"))
+    rows = cells.groupBy(*keys, "seg").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("cells"))
+    rows = rows.select(*keys, "seg", F.col("cells.j").cast("array<bigint>").alias("js"), F.col("cells.v").alias("vs"))
+    w = rows.repartitionByRange("i", "seg").sortWithinPartitions("i", "seg").write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
+def read_sparse_cells(spark: SparkSession, path: str, value_type: str = "double") -> DataFrame:
+    """CELLS of a sparse ROWS table; filters on i prune row groups."""
+    rows = spark.read.schema(f"i BIGINT, seg BIGINT, js ARRAY<BIGINT>, vs ARRAY<{value_type}>").parquet(path)
+    return rows.select("i", F.explode(F.arrays_zip("js", "vs")).alias("c")).select("i", F.col("c.js").alias("j"), F.col("c.vs").alias("v"))
+
+
 def read_unindexed_rows(spark: SparkSession, path: str, row: str = "row") -> DataFrame:
     """A row table written without an index (one record per row, in file order).
 
@@ -125,18 +149,35 @@ def save_bucketed(cells: DataFrame, table: str, path: str, by: str, buckets: int
     return cells.sparkSession.table(table)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """f (file), i (0-based line number in its file), line: text files in byte ranges, each by its own task.
+
+    A range's lines are numbered in the task that reads them. One row a range (its count of lines)
+    gives the running offsets within a file, so no task reads a whole file. Both passes come from
+    one listing and plan, so their ranges are the same ones. A line ends with a newline, or a
+    carriage return and a newline; white space at a line's end and the blank lines at a file's end
+    are left out. An empty file has no lines.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", r"\s+$", "").alias("line"), F.col("_metadata.file_path").alias("f"),
+        F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mid"))
+    ranges = raw.groupBy("f", "at").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first"), F.max(F.when(F.col("line") != "", F.col("mid"))).alias("last"))
+    off = F.sum("n").over(Window.partitionBy("f").orderBy("at")) - F.col("n")
+    ranges = ranges.select("f", "at", "last", (off - F.col("first")).alias("shift"))
+    end = F.max(F.col("shift") + F.col("last")).over(Window.partitionBy("f"))
+    ranges, _ = broadcast_if_small(ranges.select("f", "at", "shift", end.alias("end")), MAX_FILES)
+    lines = raw.join(ranges, ["f", "at"]).withColumn("i", F.col("mid") + F.col("shift"))
+    return lines.where("i <= end").select("f", "i", "line")
+
+
 def read_csv_matrix(spark: SparkSession, path: str, scale: int | None = 100000) -> DataFrame:
-    """Headerless comma-separated matrix file(s) -> CELLS.
+    """Headerless comma-separated matrix file(s) -> CELLS, rows numbered within each file.
 
-    Each file is read whole (one record per file), so this suits files up
-    to a few hundred MB; large matrices belong in Parquet row tables.
+    Files of any size: they are read in byte ranges (``read_lines``).
     ``scale`` turns fixed-point decimals into exact integers:
     v = round(x * scale) as BIGINT; ``None`` keeps doubles.
     """
-    txt = spark.read.text(path, wholetext=True)
-    lines = txt.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n"))
-                       .alias("i", "line"))
-    cells = lines.select("i", F.posexplode(F.split(F.trim("line"), r"\s*,\s*")).alias("j", "x"))
+    cells = read_lines(spark, path).select("i", F.posexplode(F.split(F.trim("line"), r"\s*,\s*")).alias("j", "x"))
     x = F.col("x").cast("double")
     v = F.round(x * scale).cast("bigint") if scale else x
     return cells.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"),
