@@ -345,6 +345,16 @@ def q_parquet_roundtrip(spark, sf):
     return back
 
 
+def q_csv_roundtrip(spark, sf):
+    """E stored as CSV, a file a range of rows with the row's id in front; each row is placed by its file's first id and its line number (ids have no gaps)."""
+    rows = tables.embedding_rows(spark, sf).repartitionByRange("i").sortWithinPartitions("i")
+    path = f"{shared_dir(spark)}/tessera-csv-{uuid.uuid4().hex}"
+    rows.select(F.concat(F.col("i").cast("string"), F.lit(","), _text("row"))).write.text(path)
+    cells = io.read_csv_files(spark, path, scale=1)
+    first = cells.where("i = 0 AND j = 0").select("f", F.col("v").alias("first"))
+    return cells.join(first, "f").where("j > 0").select((F.col("first") + F.col("i")).alias("i"), (F.col("j") - 1).alias("j"), "v")
+
+
 def q_matmul_rows_broadcast(spark, sf):
     """E, as stored rows, times a formula matrix with a row for each of E's columns and 5 columns."""
     c = int(tables.table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0)
@@ -408,6 +418,7 @@ QUERIES = {
     "sum_repeatable": q_sum_repeatable,
     "matmul_repeatable": q_matmul_repeatable,
     "parquet_roundtrip": q_parquet_roundtrip,
+    "csv_roundtrip": q_csv_roundtrip,
     "matmul_auto_exact": q_matmul_auto_exact,
     "matmul_rows_broadcast": q_matmul_rows_broadcast,
     "matmul_block_chunked": q_matmul_block_chunked,
@@ -501,6 +512,7 @@ def _oracle() -> dict[str, str]:
           "FROM (SELECT vec_id, unnest(range(len(embedding))) AS j, unnest(embedding) AS x FROM embeddings)")
     o["matmul_repeatable"] = (f"SELECT a.j AS i, b.j AS j, round(fsum(a.v * b.v), 6) AS v FROM ({ed}) a JOIN ({ed}) b ON a.i = b.i "
                               "GROUP BY 1, 2 HAVING fsum(a.v * b.v) <> 0")
+    o["csv_roundtrip"] = E
     o["generate_uniform"] = (f"SELECT i, j, CAST(('0x' || substr(md5(concat_ws(',', i, j, {SEED})), 1, 13)) AS BIGINT) * pow(2.0, -52) AS v "
                              f"FROM ({E})")
     o["generate_formula"] = FM

@@ -177,11 +177,15 @@ def read_csv_matrix(spark: SparkSession, path: str, scale: int | None = 100000)
     ``scale`` turns fixed-point decimals into exact integers:
     v = round(x * scale) as BIGINT; ``None`` keeps doubles.
     """
-    cells = read_lines(spark, path).select("i", F.posexplode(F.split(F.trim("line"), r"\s*,\s*")).alias("j", "x"))
+    return read_csv_files(spark, path, scale).select("i", "j", "v")
+
+
+def read_csv_files(spark: SparkSession, path: str, scale: int | None = 100000) -> DataFrame:
+    """As ``read_csv_matrix``, with the file of each cell as ``f``: one matrix a file."""
+    cells = read_lines(spark, path).select("f", "i", F.posexplode(F.split(F.trim("line"), r"\s*,\s*")).alias("j", "x"))
     x = F.col("x").cast("double")
     v = F.round(x * scale).cast("bigint") if scale else x
-    return cells.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"),
-                        v.alias("v"))
+    return cells.select("f", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), v.alias("v"))
 
 
 def rows_from_local(spark: SparkSession, rows: list[list[float]], value_type: str = "double") -> DataFrame:
