@@ -23,6 +23,7 @@ from tessera.functions.expressions import padded_size, path_m, path_parent
 from tessera.operators import algebra, blocks, dispatch, layout, panels, products, sparse_tiles, strassen
 from tessera.operators.dispatch import matmul
 from tessera.operators.layout import shape_of
+from tessera.operators.batch import matmul_batch
 from tessera.operators.estimate import error_bound, output_cells
 from tessera.operators.repeatable import add_repeatable, matmul_repeatable
 from tessera.operators.verify import check_product
@@ -278,6 +279,14 @@ def q_matmul_panels(spark, sf):
     return panels.matmul_panels(sp, algebra.transpose(sp), max_cells=sp.count() // 4 + 1)
 
 
+def q_matmul_batch(spark, sf):
+    """Supplier x part of every shipping year times its transpose, all years in one job."""
+    li = tables.table(spark, sf, "lineitem")
+    cells = (li.groupBy(F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"))
+               .agg(F.sum("l_quantity").cast("bigint").alias("v")))
+    return matmul_batch(cells, cells.select("year", F.col("j").alias("i"), F.col("i").alias("j"), "v"), "year")
+
+
 def _nation_supplier(spark, sf):
     return tables.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("bigint").alias("i"), F.col("s_suppkey").cast("bigint").alias("j"),
                                                       F.lit(1).cast("bigint").alias("v"))
@@ -414,6 +423,7 @@ QUERIES = {
     "matmul_sparse_tiles": q_matmul_sparse_tiles,
     "matmul_panels": q_matmul_panels,
     "product_check": q_product_check,
+    "matmul_batch": q_matmul_batch,
     "output_size": q_output_size,
     "sum_repeatable": q_sum_repeatable,
     "matmul_repeatable": q_matmul_repeatable,
@@ -503,6 +513,10 @@ def _oracle() -> dict[str, str]:
     o["matmul_panels"] = sq.product(SP, sq.t(SP))
     o["product_check"] = (f"SELECT CAST(range AS INTEGER) AS round, (SELECT count(DISTINCT i) FROM ({sq.product(SP, sq.t(SP))})) AS n_rows, "
                           "CAST(0 AS BIGINT) AS n_wrong FROM range(0, 3)")
+    by_year = ("SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_suppkey AS i, l_partkey AS j, CAST(sum(l_quantity) AS BIGINT) AS v "
+               "FROM lineitem GROUP BY 1, 2, 3")
+    o["matmul_batch"] = (f"SELECT a.year AS year, a.i AS i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v "
+                         f"FROM ({by_year}) a JOIN ({by_year}) b ON a.year = b.year AND a.j = b.j GROUP BY 1, 2, 3 HAVING sum(a.v * b.v) <> 0")
     ns = "SELECT CAST(s_nationkey AS BIGINT) AS i, CAST(s_suppkey AS BIGINT) AS j, CAST(1 AS BIGINT) AS v FROM supplier"
     o["output_size"] = " UNION ALL ".join(f"SELECT '{name}' AS product, count(*) AS n_cells, TRUE AS within FROM ({c})"
                                           for name, c in (("SP*SPt", sq.product(SP, sq.t(SP))), ("NS*SP", sq.product(ns, SP))))
