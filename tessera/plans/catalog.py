@@ -293,13 +293,13 @@ def _nation_supplier(spark, sf):
 
 
 def q_output_size(spark, sf):
-    """Cells of SP * SP^T and of nation x supplier * SP, and whether the sketch tells them within three standard errors."""
+    """Cells of SP * SP^T and of nation x supplier * SP, and n_off: 1 where the sketch is off by more than three standard errors."""
     sp, ns = tables.supplier_part(spark, sf), _nation_supplier(spark, sf)
     out = None
     for name, a, b in (("SP*SPt", sp, algebra.transpose(sp)), ("NS*SP", ns, sp)):
         made = matmul(a, b, strategy="sparse_tiles").agg(F.count(F.lit(1)).alias("n_cells"))
-        off = F.abs(F.col("n_cells") - F.lit(output_cells(a, b))) <= 3 * error_bound() * F.col("n_cells")
-        made = made.select(F.lit(name).alias("product"), "n_cells", off.alias("within"))
+        off = F.abs(F.col("n_cells") - F.lit(output_cells(a, b))) > 3 * error_bound() * F.col("n_cells")
+        made = made.select(F.lit(name).alias("product"), "n_cells", off.cast("bigint").alias("n_off"))
         out = made if out is None else out.unionByName(made)
     return out
 
@@ -518,7 +518,7 @@ def _oracle() -> dict[str, str]:
     o["matmul_batch"] = (f"SELECT a.year AS year, a.i AS i, b.i AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v "
                          f"FROM ({by_year}) a JOIN ({by_year}) b ON a.year = b.year AND a.j = b.j GROUP BY 1, 2, 3 HAVING sum(a.v * b.v) <> 0")
     ns = "SELECT CAST(s_nationkey AS BIGINT) AS i, CAST(s_suppkey AS BIGINT) AS j, CAST(1 AS BIGINT) AS v FROM supplier"
-    o["output_size"] = " UNION ALL ".join(f"SELECT '{name}' AS product, count(*) AS n_cells, TRUE AS within FROM ({c})"
+    o["output_size"] = " UNION ALL ".join(f"SELECT '{name}' AS product, count(*) AS n_cells, CAST(0 AS BIGINT) AS n_off FROM ({c})"
                                           for name, c in (("SP*SPt", sq.product(SP, sq.t(SP))), ("NS*SP", sq.product(ns, SP))))
     o["sum_repeatable"] = ("SELECT l_suppkey AS i, l_partkey AS j, round(fsum(l_extendedprice * (1 - l_discount)), 6) AS v FROM lineitem "
                            "GROUP BY 1, 2 HAVING fsum(l_extendedprice * (1 - l_discount)) <> 0")
