@@ -5,10 +5,15 @@ its first ``LEAD`` tokens; a token that holds a digit is a variable field. A lea
 lines make templates in two ways:
 
 * exact: the tokens themselves, digit fields generalised;
-* generalised: at each position the leaf's most frequent token if at least half of
-  the leaf's lines have it there, else a variable field. A leaf has such a template
-  when at least ``MIN_CONSTANT`` per cent of its positions, and four, are constant;
-  a line is of it when all constant positions agree.
+* generalised: a leaf's exact templates, each weighing the groups of copies that hold
+  it, are clusters that split until a template fits. A cluster's template has at each
+  position the most frequent token if at least half of its weight has it there, else a
+  variable field (if that leaves no variable field, what all lines hold is constant); it fits when at least ``MIN_CONSTANT`` per cent of its positions, and
+  four, are constant. Lines whose tokens agree with all constants are of it and leave
+  the cluster. The others split by the tokens they hold of the cluster's major ones:
+  not held by all, of a weight of at least ``min_docs`` and half of the largest such
+  weight. So a leaf has any number of templates. Each round is a few aggregations over
+  the lines that are left; no task holds a cluster.
 
 A template recurs when documents of at least ``min_docs`` different groups of copies
 hold it, however many copies each group has. So a header, footer or notice recurs, of
@@ -47,6 +52,8 @@ from tessera.llm.text import distinct, materialize, shingle_hashes, small_slices
 LEAD = 3
 MIN_DOCS = 10
 MIN_CONSTANT = 60
+#: Constant positions that a generalised template has at least.
+LEAST = 4
 BLOCK = 1 << 21
 #: Bins of a sketch (a power of two), bins of a band, per cent of bins that near copies agree in.
 BINS, ROWS, NEAR = 64, 4, 80
@@ -116,10 +123,12 @@ def _member(of: np.ndarray, values: list[int]) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, leaves=None) -> DataFrame:
-    """leaf, exact, doc, whole of each line; with ``leaves`` (a broadcast sorted array) of their lines alone, with tokens."""
-    kinds = [pa.int64()] * 4 + ([pa.list_(pa.int64())] if leaves is not None else [])
+    """leaf (null if too short for a variable field), exact, doc, whole of each line; with ``leaves`` (a broadcast sorted array) exact, leaf, tokens of their exact templates, once a task."""
+    names = ["leaf", "exact", "doc", "whole"] if leaves is None else ["exact", "leaf", "tokens"]
+    kinds = [pa.int64()] * 4 if leaves is None else [pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for b in small_slices(batch, 4 << 20):
                 rows = []
@@ -127,14 +136,17 @@ def _lines(docs: DataFrame, leaves=None) -> DataFrame:
                     lines = parse(_raw(text))
                     if leaves is None:
                         w = whole(lines)
-                        rows += [(x.leaf, x.exact, doc, w) for x in lines]
-                    elif (use := _member(leaves.value, [x.leaf for x in lines])).any():
-                        w = whole(lines)
-                        rows += [(x.leaf, x.exact, doc, w, x.hashes()) for x, u in zip(lines, use) if u]
+                        rows += [(x.leaf if len(x.tokens) > LEAST else None, x.exact, doc, w) for x in lines]
+                        continue
+                    lines = [x for x in lines if len(x.tokens) > LEAST and x.exact not in seen]
+                    for x, use in zip(lines, _member(leaves.value, [x.leaf for x in lines])):
+                        if use and x.exact not in seen:
+                            seen.add(x.exact)
+                            rows.append((x.exact, x.leaf, x.hashes()))
                 cols = list(zip(*rows)) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["leaf", "exact", "doc", "whole", "tokens"][:len(kinds)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, whole bigint" + ", tokens array<bigint>" * (leaves is not None))
+    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, whole bigint" if leaves is None else "exact bigint, leaf bigint, tokens array<bigint>")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -182,11 +194,9 @@ def copies(docs: DataFrame) -> DataFrame:
     return components(materialize(both.select("a", "b", "x", "y").mapInArrow(agree, "a bigint, b bigint"), "near"))
 
 
-def _recurring(seen: DataFrame, key: str, min_docs: int, groups: DataFrame) -> DataFrame:
-    """Keys of (key, doc, whole) rows that recur."""
-    once = seen.groupBy(key, "doc").agg(F.min("whole").alias("node")).join(groups, "node", "left")
-    by_group = once.select(key, F.coalesce("label", "node").alias("copies")).distinct()
-    return by_group.groupBy(key).agg(F.count(F.lit(1)).alias("n_groups")).where(f"n_groups >= {min_docs}").select(key)
+def _recurring(held: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """Keys of (key, copies) rows that at least ``min_docs`` groups of copies hold."""
+    return held.select(key, "copies").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_groups")).where(f"n_groups >= {min_docs}").select(key)
 
 
 def _blocks(df: DataFrame, key: str, n: int) -> Iterator:
@@ -200,41 +210,81 @@ def _count_blocks(rows: int, size: int) -> int:
     return max(1, -(-rows // size))
 
 
-def generalise(lines: DataFrame) -> DataFrame:
-    """Leaf and template (an array with nulls for variable fields) from (leaf, tokens, ...) lines."""
-    sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines"))
-    cells = lines.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n"))
-    top = cells.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"))
-    constant = F.when((2 * F.col("top.n") >= F.col("n_lines")) & (F.col("top.token") != F.lit(FIELD)), F.col("top.token"))
-    # a line's tokens bound the positions of a leaf
-    rows = top.join(sizes, "leaf").select("leaf", F.struct("pos", constant.alias("token")).alias("cell"))
-    made = rows.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list("cell")), lambda c: c["token"]).alias("template"))
-    n_constant = F.size(F.filter("template", lambda t: t.isNotNull()))
-    return made.where((n_constant * 100 >= F.size("template") * MIN_CONSTANT) & (n_constant >= 4) & (n_constant < F.size("template")))
+def _held_cells(cells: DataFrame) -> DataFrame:
+    """Marked for broadcast if (key, template) rows are proven small by their tokens."""
+    n = cells.agg(F.sum(F.size("template"))).first()[0] or 0
+    return F.broadcast(cells) if n <= 1 << 20 else cells
+
+
+def _cells(items: DataFrame) -> DataFrame:
+    return items.select("key", "exact", "weight", F.posexplode("tokens").alias("pos", "token")).where(F.col("token") != F.lit(FIELD))
+
+
+def generalise(items: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Of clusters (key, exact, weight, tokens): the templates that fit (key, template), nulls for variable fields, and the major tokens (key, pos, token)."""
+    sizes = items.groupBy("key").agg(F.sum("weight").alias("total"), F.max(F.size("tokens")).alias("length"))
+    counts = materialize(_cells(items).groupBy("key", "pos", "token").agg(F.sum("weight").alias("n")), "tokens")
+    top = counts.groupBy("key", "pos").agg(F.max(F.struct("n", "token")).alias("top")).join(sizes, "key")
+    # a line's tokens bound the positions of a cluster
+    half, all_ = 2 * F.col("top.n") >= F.col("total"), F.col("top.n") == F.col("total")
+    by_key = top.groupBy("key").agg(F.max("length").alias("length"), F.max("total").alias("total"), F.max(F.when(~all_, F.col("top.n"))).alias("most"),
+                                    F.collect_list(F.when(half, F.struct("pos", "top.token", all_.alias("everywhere")))).alias("constants"))
+    # constant throughout is an exact template: then what all lines hold is constant
+    shared = F.when(F.size("constants") == F.col("length"), F.filter("constants", lambda c: c["everywhere"])).otherwise(F.col("constants"))
+    by_key = materialize(by_key.withColumn("constants", F.transform(shared, lambda c: F.struct(c["pos"], c["token"]))), "clusters")
+    n_constant = F.size("constants")
+    fit = by_key.where((n_constant * 100 >= F.col("length") * MIN_CONSTANT) & (n_constant >= LEAST) & (n_constant < F.col("length")))
+    at = F.map_from_entries("constants")
+    made = fit.select("key", F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.try_element_at(at, i)).alias("template"))
+    split = by_key.where(f"most >= {min_docs}").select("key", "total", "most")
+    major = counts.join(small(split), "key").where((F.col("n") < F.col("total")) & (F.col("n") >= min_docs) & (2 * F.col("n") >= F.col("most")))
+    return made, major.select("key", "pos", "token")
 
 
 def _matches() -> F.Column:
     return F.forall(F.zip_with("template", "tokens", lambda c, t: c.isNull() | (c == t)), lambda ok: ok)
 
 
+def clusters(items: DataFrame, min_docs: int) -> DataFrame:
+    """(exact, leaf, template): the generalised template of each exact one that has one, from (exact, leaf, weight, tokens) rows."""
+    found = []
+    items = items.withColumn("key", F.col("leaf"))
+    while not items.isEmpty():
+        made, major = (materialize(x, "templates") for x in generalise(items, min_docs))
+        told = materialize(items.join(_held_cells(made), "key", "left").withColumn("fits", F.col("template").isNotNull() & F.coalesce(_matches(), F.lit(False))), "told")
+        found.append(told.where("fits").select("exact", "leaf", "template"))
+        rest = told.where("NOT fits").drop("fits", "template")
+        parted = _cells(rest).join(small(major), ["key", "pos", "token"]).groupBy("exact").agg(F.bit_xor(F.xxhash64("pos", "token")).alias("part"))
+        again = rest.join(small(major.select("key").distinct()), "key", "left_semi").join(small(materialize(parted, "parts")), "exact", "left")
+        again = materialize(again.withColumn("key", F.xxhash64("key", F.coalesce("part", F.lit(0)))).drop("part"), "clusters")
+        # lighter clusters can't recur, and one exact template is its own
+        live = again.groupBy("key").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n")).where(f"total >= {min_docs} AND n > 1").select("key")
+        items = materialize(again.join(small(materialize(live, "keys")), "key", "left_semi"), "clusters")
+    out = items.select("exact", "leaf", F.col("tokens").alias("template"))
+    for x in found:
+        out = out.unionByName(x)
+    return out
+
+
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """From (doc, text) rows: exact templates that recur, and leaves with generalised templates that recur."""
+    """From (doc, text) rows: exact templates that recur, and generalised templates that recur with their leaves."""
     lines = materialize(_lines(docs), "lines")
     groups = small(materialize(copies(docs), "copies"))
-    exact = materialize(_recurring(lines, "exact", min_docs, groups), "exact-templates")
-    leaves = (_recurring(lines, "leaf", min_docs, groups)
-              .join(lines.groupBy("leaf").agg((F.min("exact") != F.max("exact")).alias("varies")).where("varies"), "leaf", "left_semi"))
-    leaves = materialize(leaves, "leaves")
-    made = None
+    of = lines.groupBy("doc").agg(F.min("whole").alias("node")).join(groups, "node", "left").select("doc", F.coalesce("label", "node").alias("copies"))
+    held = materialize(lines.join(small(materialize(of, "groups")), "doc").select("leaf", "exact", "copies").distinct(), "held")
+    weights = materialize(held.groupBy("exact").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("weight")), "weights")
+    exact = materialize(weights.where(f"weight >= {min_docs}").select("exact"), "exact-templates")
+    # leaves that recur, with a line that doesn't go by its exact template
+    varied = weights.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).where(f"n > 1 AND least < {min_docs}").select("leaf")
+    leaves = materialize(_recurring(held.join(varied, "leaf", "left_semi"), "leaf", min_docs), "leaves")
+    made = docs.sparkSession.createDataFrame([], "leaf bigint, template array<bigint>")
     n_leaves = leaves.count()
     for block in _blocks(leaves, "leaf", _count_blocks(n_leaves, BLOCK)) if n_leaves else ():
-        varied = materialize(_lines(docs, block), "leaf-lines")
-        templates = materialize(generalise(varied), "templates")
-        of = varied.join(templates, "leaf").where(_matches())
-        found = templates.join(_recurring(of.select("leaf", "doc", "whole"), "leaf", min_docs, groups), "leaf", "left_semi")
-        made = found if made is None else made.unionByName(found)
-    if made is None:
-        made = docs.sparkSession.createDataFrame([], "leaf bigint, template array<bigint>")
+        tokens = materialize(_lines(docs, block), "leaf-lines").groupBy("exact").agg(F.min("leaf").alias("leaf"), F.min("tokens").alias("tokens"))
+        of = materialize(clusters(materialize(tokens.join(weights.select("exact", "weight"), "exact"), "items"), min_docs), "general")
+        named = of.select("exact", F.xxhash64("leaf", "template").alias("name"))
+        found = _recurring(held.join(small(named), "exact"), "name", min_docs)
+        made = made.unionByName(of.select("leaf", "template").distinct().join(found, F.xxhash64("leaf", "template") == F.col("name"), "left_semi"))
     return exact, materialize(made, "general-templates")
 
 
@@ -250,14 +300,20 @@ def drop_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     for k, same in enumerate(_blocks(exact, "exact", n)):  # every block but the last notes lines to drop, the last drops them
         rows = general.where(F.pmod(F.xxhash64("leaf"), F.lit(n)) == k).collect()
-        like = spark.sparkContext.broadcast({r.leaf: r.template for r in rows})
+        by_leaf: dict[int, list] = {}
+        for r in rows:
+            by_leaf.setdefault(r.leaf, []).append([(i, c) for i, c in enumerate(r.template) if c is not None])
+        like = spark.sparkContext.broadcast(by_leaf)
         final = k == n - 1
 
         def run(batches: Iterator[pa.RecordBatch], same=same, like=like, final=final) -> Iterator[pa.RecordBatch]:
             templates = like.value
 
             def general_hit(x: Line) -> bool:
-                return (t := templates.get(x.leaf)) is not None and all(c is None or c == h for c, h in zip(t, x.hashes()))
+                if not (of := templates.get(x.leaf)):
+                    return False
+                own = x.hashes()
+                return any(all(own[i] == c for i, c in t) for t in of)
 
             for whole in batches:
                 for b in small_slices(whole, 4 << 20):

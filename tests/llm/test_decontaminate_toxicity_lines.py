@@ -118,45 +118,63 @@ def test_viterbi_finds_the_cheapest_reading(model):
 
 
 def brute_lines(rows, min_docs=10):
-    lead = line_templates.LEAD
-
     def toks(line):
         return tuple("<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
 
-    parsed = []
-    for d, t in rows:
-        own = [(k, toks(x)) for k, x in enumerate((t or "").split("\n"))]
-        own = [(k, x) for k, x in own if x]
-        for i, (k, x) in enumerate(own):
-            ctx = (own[i - 1][1] if i else None, own[i + 1][1] if i + 1 < len(own) else None)
-            parsed.append((d, k, (len(x), x[:lead]), x, ctx))
-
-    def recurring(seen):
-        n_docs, ctxs, first = defaultdict(set), defaultdict(set), {}
-        for key, d, c in seen:
-            n_docs[key].add(d)
-            ctxs[key].add(c)
-        return {k for k in n_docs if len(n_docs[k]) >= min_docs and len(ctxs[k]) >= min_docs and 4 * len(ctxs[k]) >= len(n_docs[k])}
-
-    exact = recurring((x, d, c) for d, _, _, x, c in parsed)
-    leaves = recurring((f, d, c) for d, _, f, _, c in parsed)
-    by_leaf = defaultdict(list)
-    for d, k, f, x, c in parsed:
-        if f in leaves:
-            by_leaf[f].append((d, x, c))
-    general = {}
-    for f, own in by_leaf.items():
-        template = []
-        for p in range(f[0]):
-            token, n = Counter(x[p] for _, x, _ in own).most_common(1)[0]
-            template.append(token if 2 * n >= len(own) and token != "<*>" else None)
-        const = sum(t is not None for t in template)
-        if const >= 4 and 100 * const >= line_templates.MIN_CONSTANT * f[0] and const < f[0] and len({x for _, x, _ in own}) > 1:
-            general[f] = template
-    def fits(f, x):
-        return f in general and all(t is None or t == w for t, w in zip(general[f], x))
-    again = recurring((f, d, c) for d, k, f, x, c in parsed if fits(f, x))
-    drop = {(d, k) for d, k, f, x, c in parsed if x in exact or f in again and fits(f, x)}
+    parsed = [(d, k, x) for d, t in rows for k, line in enumerate((t or "").split("\n")) if (x := toks(line))]
+    texts = defaultdict(list)  # of each document's templates the 5-word shingles; equal or near ones are copies
+    for d, _, x in parsed:
+        texts[d].append(x)
+    grams, of = {}, {}
+    for d, xs in texts.items():
+        w = [re.sub("[A-Z]", lambda m: m.group().lower(), t) for x in xs for t in x]
+        grams[d] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+        twin = next((e for e in of if texts[e] == xs or 5 * len(grams[d] & grams[e]) >= 4 * len(grams[d] | grams[e])), d)
+        of[d] = of.get(twin, twin)
+        for e in list(of):
+            if of[e] != of[d] and 5 * len(grams[d] & grams[e]) >= 4 * len(grams[d] | grams[e]):
+                of = {k: of[d] if v == of[e] else v for k, v in of.items()}
+
+    holders = defaultdict(set)
+    for d, _, x in parsed:
+        holders[x].add(of[d])
+    leaves = defaultdict(list)
+    for x in holders:
+        if len(x) > line_templates.LEAST:
+            leaves[len(x), x[:line_templates.LEAD]].append(x)
+
+    def fits(t, x):
+        return all(a is None or a == b for a, b in zip(t, x))
+
+    def grow(xs):
+        if len(xs) < 2 or sum(len(holders[x]) for x in xs) < min_docs:
+            return
+        total, counts = sum(len(holders[x]) for x in xs), [Counter() for _ in xs[0]]
+        for x in xs:
+            for p, w in enumerate(x):
+                if w != "<*>":
+                    counts[p][w] += len(holders[x])
+        most = [max(c.items(), key=lambda i: i[1]) if c else (None, 0) for c in counts]
+        template = [w if 2 * n >= total else None for w, n in most]
+        if None not in template:
+            template = [w if n == total else None for w, n in most]
+        const = sum(w is not None for w in template)
+        if const >= 4 and 100 * const >= line_templates.MIN_CONSTANT * len(template) and const < len(template):
+            if mine := [x for x in xs if fits(template, x)]:
+                if len(set().union(*(holders[x] for x in mine))) >= min_docs:
+                    yield template
+                xs = [x for x in xs if not fits(template, x)]
+        largest = max([n for _, n in most if n < total], default=0)
+        if largest >= min_docs:
+            parts = defaultdict(list)
+            for x in xs:
+                parts[tuple(p for p, w in enumerate(x) if w != "<*>" and total > counts[p][w] >= min_docs and 2 * counts[p][w] >= largest),
+                      tuple(w for p, w in enumerate(x) if w != "<*>" and total > counts[p][w] >= min_docs and 2 * counts[p][w] >= largest)].append(x)
+            for part in parts.values():
+                yield from grow(part)
+
+    general = {f: list(grow(xs)) for f, xs in leaves.items() if len(set().union(*(holders[x] for x in xs))) >= min_docs}
+    drop = {(d, k) for d, k, x in parsed if len(holders[x]) >= min_docs or any(fits(t, x) for t in general.get((len(x), x[:line_templates.LEAD]), ()))}
     return [(d, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in drop)) for d, t in rows], drop
 
 
@@ -209,6 +227,27 @@ def test_lines_of_recurring_blocks_go(spark, size):
     assert {r.doc_id: r.text for r in line_templates.drop_lines(docs).collect()} == {i: f"{a}\n{b}" for i, (a, b) in enumerate(body)}
 
 
+@pytest.mark.parametrize("mix", [[200], [100, 100], [120, 50, 30], [15] * 9 + [65]])
+def test_templates_that_share_a_leaf_go(spark, mix):
+    """A notice with a word-valued field goes, however many other notices begin alike."""
+    rnd = random.Random(6)
+    tails = [" ".join(own_words(rnd, 1) for _ in range(5)) for _ in mix]
+    rows = [(1000 * k + i, f"{own_words(rnd, 30)}\nThe user account {own_words(rnd, 1)} {tails[k]}\n{own_words(rnd, 30)}") for k, n in enumerate(mix) for i in range(n)]
+    rows += [(-1 - i, f"{own_words(rnd, 30)}\nThe user account {own_words(rnd, 6)}") for i in range(5)]  # own words after the same beginning
+    want, drop = brute_lines(rows)
+    assert {d for d, _ in drop} == {d for d, _ in rows if d >= 0} and {k for _, k in drop} == {1}
+    got = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(want)
+
+
+def test_a_value_that_recurs_itself_does_not_hide_a_template(spark):
+    rnd = random.Random(8)
+    names = ["anna"] * 15 + ["berta"] * 12 + [own_words(rnd, 1) for _ in range(12)]
+    rows = [(i, f"{own_words(rnd, 30)}\nPlease read the terms {x} of use of this site") for i, x in enumerate(names)]
+    got = line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((d, t.split("\n")[0]) for d, t in rows)
+
+
 def test_lines_of_near_copies_stay(spark):
     rnd = random.Random(4)
     base = [own_words(rnd, 12) for _ in range(20)]
