@@ -123,9 +123,10 @@ def _member(of: np.ndarray, values: list[int]) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, leaves=None) -> DataFrame:
-    """leaf (null if too short for a variable field), exact, doc, whole of each line; with ``leaves`` (a broadcast sorted array) exact, leaf, tokens of their exact templates, once a task."""
-    names = ["leaf", "exact", "doc", "whole"] if leaves is None else ["exact", "leaf", "tokens"]
-    kinds = [pa.int64()] * 4 if leaves is None else [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    """leaf (null if too short for a variable field), exact, doc, whole of each line, and whole and sketch of each text, once a task;
+    with ``leaves`` (a broadcast sorted array) exact, leaf, tokens of their exact templates, once a task."""
+    names = ["leaf", "exact", "doc", "whole", "sketch"] if leaves is None else ["exact", "leaf", "tokens"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] if leaves is None else [pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -136,7 +137,10 @@ def _lines(docs: DataFrame, leaves=None) -> DataFrame:
                     lines = parse(_raw(text))
                     if leaves is None:
                         w = whole(lines)
-                        rows += [(x.leaf if len(x.tokens) > LEAST else None, x.exact, doc, w) for x in lines]
+                        rows += [(x.leaf if len(x.tokens) > LEAST else None, x.exact, doc, w, None) for x in lines]
+                        if lines and w not in seen:
+                            seen.add(w)
+                            rows.append((None, None, None, w, sketch(lines).tobytes()))
                         continue
                     lines = [x for x in lines if len(x.tokens) > LEAST and x.exact not in seen]
                     for x, use in zip(lines, _member(leaves.value, [x.leaf for x in lines])):
@@ -146,25 +150,11 @@ def _lines(docs: DataFrame, leaves=None) -> DataFrame:
                 cols = list(zip(*rows)) or [[]] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, whole bigint" if leaves is None else "exact bigint, leaf bigint, tokens array<bigint>")
+    return docs.mapInArrow(run, "leaf bigint, exact bigint, doc bigint, whole bigint, sketch binary" if leaves is None else "exact bigint, leaf bigint, tokens array<bigint>")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """(node, label): the group of near copies of each different text that has one, from (doc, text) rows."""
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
-            for b in small_slices(batch, 4 << 20):
-                nodes, drawn = [], []
-                for text in b.column(1).to_pylist():
-                    lines = parse(_raw(text))
-                    if not lines or (w := whole(lines)) in seen:
-                        continue
-                    seen.add(w)
-                    nodes.append(w)
-                    drawn.append(sketch(lines).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(drawn, pa.binary())], names=["node", "sketch"])
+def copies(drawn: DataFrame) -> DataFrame:
+    """(node, label): the group of near copies of each different text that has one, from (node, sketch) rows."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,8 +174,7 @@ def copies(docs: DataFrame) -> DataFrame:
             near = 100 * ((x == y) & (x != 0)).sum(axis=1) >= NEAR * ((x != 0) | (y != 0)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(near)), b.column(1).filter(pa.array(near))], names=["a", "b"])
 
-    drawn = docs.mapInArrow(draw, "node bigint, sketch binary").groupBy("node").agg(F.min("sketch").alias("sketch"))
-    drawn = materialize(drawn, "sketches")
+    drawn = materialize(drawn.groupBy("node").agg(F.min("sketch").alias("sketch")), "sketches")
     keys = materialize(drawn.mapInArrow(band, "key bigint, node bigint"), "bands")
     leads = materialize(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("key", "a"), "leaders")
     pairs = materialize(keys.join(small(leads), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "pairs")
@@ -268,8 +257,9 @@ def clusters(items: DataFrame, min_docs: int) -> DataFrame:
 
 def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """From (doc, text) rows: exact templates that recur, and generalised templates that recur with their leaves."""
-    lines = materialize(_lines(docs), "lines")
-    groups = small(materialize(copies(docs), "copies"))
+    seen = materialize(_lines(docs), "lines")
+    groups = small(materialize(copies(seen.where("sketch IS NOT NULL").select(F.col("whole").alias("node"), "sketch")), "copies"))
+    lines = seen.where("sketch IS NULL").select("leaf", "exact", "doc", "whole")
     of = lines.groupBy("doc").agg(F.min("whole").alias("node")).join(groups, "node", "left").select("doc", F.coalesce("label", "node").alias("copies"))
     held = materialize(lines.join(small(materialize(of, "groups")), "doc").select("leaf", "exact", "copies").distinct(), "held")
     weights = materialize(held.groupBy("exact").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("weight")), "weights")
