@@ -266,7 +266,7 @@ def recurring_templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[Data
     exact = materialize(weights.where(f"weight >= {min_docs}").select("exact"), "exact-templates")
     # leaves that recur, with a line that doesn't go by its exact template
     varied = weights.where("leaf IS NOT NULL").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("least")).where(f"n > 1 AND least < {min_docs}").select("leaf")
-    leaves = materialize(_recurring(held.join(varied, "leaf", "left_semi"), "leaf", min_docs), "leaves")
+    leaves = materialize(_recurring(held.join(small(materialize(varied, "varied")), "leaf", "left_semi"), "leaf", min_docs), "leaves")
     made = docs.sparkSession.createDataFrame([], "leaf bigint, template array<bigint>")
     n_leaves = leaves.count()
     for block in _blocks(leaves, "leaf", _count_blocks(n_leaves, BLOCK)) if n_leaves else ():
