@@ -33,6 +33,9 @@ from tessera.operators.blocks import (
 )
 from tessera.operators.joins import DEFAULT_MAX_HOT_KEYS, DEFAULT_PAIRS_PER_TASK, contract
 from tessera.operators.layout import shape_of
+from tessera.operators.products import BLOCK_PAIRS
+from tessera.operators.row_blocks import contract_blocks
+from tessera.operators.sparse_tiles import block_counts, plan_blocks
 from tessera.session import shared_dir
 
 
@@ -92,11 +95,11 @@ def divide(x: DataFrame, coeff: DataFrame, hr: int, hc: int,
 
 def leaf_product(left: DataFrame, right: DataFrame, hot_split: bool = False,
                  pairs_per_task: int = DEFAULT_PAIRS_PER_TASK,
-                 max_hot: int = DEFAULT_MAX_HOT_KEYS) -> DataFrame:
-    """Per path: L * R on cells."""
+                 max_hot: int = DEFAULT_MAX_HOT_KEYS, parts: int = 0) -> DataFrame:
+    """Per path: L * R on cells, with ``parts`` by rows sent packed to blocks of rows (see ``row_blocks``)."""
     lft = left.select("path", F.col("i").alias("r"), F.col("j").alias("k"), F.col("v").alias("lv"))
     rgt = right.select("path", F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("rv"))
-    p = contract(lft, rgt, ["path"], hot_split, pairs_per_task, max_hot)
+    p = contract_blocks(lft, rgt, ["path"], parts) if parts else contract(lft, rgt, ["path"], hot_split, pairs_per_task, max_hot)
     return p.select("path", F.col("r").alias("i"), F.col("c").alias("j"), "v").where(F.col("v") != 0)
 
 
@@ -140,7 +143,8 @@ def matmul_strassen(a: DataFrame, b: DataFrame, levels: int = 1,
     index) itself, so AQE's skew-join handling (on in ``get_session``) can
     split a hot inner index at run time. ``hot_split=True`` adds the
     explicit split of ``joins.contract``, at the cost of one more pass over
-    the operands. ``co_partition=True`` is for inputs known to be dense
+    the operands. From as many sums on as make ``matmul_join`` send packed
+    rows to blocks of rows, the leaves do so too. ``co_partition=True`` is for inputs known to be dense
     (every inner index has the same count, so none can be hot): the last
     divide is then partitioned by the join key and the leaf join needs no
     shuffle of its own -- two exchanges fewer, but no run-time skew split.
@@ -159,7 +163,12 @@ def matmul_strassen(a: DataFrame, b: DataFrame, levels: int = 1,
         last = co_partition and lvl == levels - 1 and not hot_split and not checkpoint_levels
         left = _cut(divide(left, u, hr, hk, "j" if last else None), checkpoint_levels)
         right = _cut(divide(right, v, hk, hc, "i" if last else None), checkpoint_levels)
-    p = leaf_product(left, right, hot_split, pairs_per_task)
+    parts = 0
+    if not hot_split and not co_partition:
+        counts, tasks = block_counts(a, b), default_tasks(a.sparkSession)
+        if counts.sums(tasks) >= BLOCK_PAIRS:
+            parts = plan_blocks(counts, tasks, pairs_per_task)[0]
+    p = leaf_product(left, right, hot_split, pairs_per_task, parts=parts)
     for lvl in reversed(range(levels)):
         p = _cut(combine(p, w, rr >> (lvl + 1), cc >> (lvl + 1)), checkpoint_levels)
     return p.where((F.col("i") < r) & (F.col("j") < c)).select("i", "j", "v")
