@@ -178,15 +178,16 @@ class Hmm:
         for col, i in enumerate(order):
             grid[:len(seqs[i]), col] = seqs[i]
         alive = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
-        out = np.zeros(len(order))
+        scale, ones = np.ones(grid.shape), np.ones(len(self.start))
         a = self.start * self.emit[grid[0]]
         for t in range(sizes[0]):
             m = alive[t]
             if t:
-                a = (a[:m] @ self.move) * self.emit[grid[t, :m]]
-            c = a.sum(axis=1)
-            out[:m] += np.log(c)
+                a = a[:m] @ self.move
+                a *= self.emit.take(grid[t, :m], axis=0)
+            c = np.dot(a, ones, out=scale[t, :m])
             a /= c[:, None]
+        out = np.log(scale, out=scale).sum(axis=0)
         back = np.empty(len(order))
         back[order] = out
         return back
@@ -200,29 +201,34 @@ class Hmm:
         for col, s in enumerate(seqs):
             grid[:len(s), col] = s
         alive = np.searchsorted(-sizes, -np.arange(steps), "left")
-        alpha, scale, emitted = np.zeros((steps, width, k)), np.ones((steps, width)), self.emit[grid]
-        a = self.start * emitted[0]
+        alpha, scale, emitted = np.zeros((steps, width, k)), np.ones((steps, width)), self.emit.take(grid, axis=0)
+        ones = np.ones(k)
         for t in range(steps):
             m = alive[t]
+            a, c = alpha[t, :m], scale[t, :m]
             if t:
-                a = (a[:m] @ self.move) * emitted[t, :m]
-            scale[t, :m] = a.sum(axis=1)
-            a = a / scale[t, :m, None]
-            alpha[t, :m] = a
-        beta = np.ones((width, k))
-        gamma = np.zeros((steps, width, k))
-        for t in range(steps - 1, -1, -1):
+                np.matmul(alpha[t - 1, :m], self.move, out=a)
+                a *= emitted[t, :m]
+            else:
+                np.multiply(self.start, emitted[0], out=a)
+            np.dot(a, ones, out=c)
+            a /= c[:, None]
+        emitted /= scale[:, :, None]
+        beta, later = np.ones((steps, width, k)), np.zeros((steps, width, k))
+        back = np.ascontiguousarray(self.move.T)
+        for t in range(steps - 1, 0, -1):
             m = alive[t]
-            gamma[t, :m] = alpha[t, :m] * beta[:m]
-            if t:
-                w = emitted[t, :m] * beta[:m] / scale[t, :m, None]
-                counts.move += (alpha[t - 1, :m].T @ w) * self.move
-                beta[:m] = w @ self.move.T
-        counts.start += gamma[0].sum(axis=0)
-        use = np.arange(steps)[:, None] < sizes[None, :]
+            w = later[t, :m]
+            np.multiply(emitted[t, :m], beta[t, :m], out=w)
+            np.matmul(w, back, out=beta[t - 1, :m])
+        # the steps' sums are left to one product; sequences that ended add zeros
+        counts.move += (alpha[:-1].reshape(-1, k).T @ later[1:].reshape(-1, k)) * self.move
+        alpha *= beta
+        counts.start += alpha[0].sum(axis=0)
+        seen = grid.ravel()  # behind its end a sequence adds zeros
         for j in range(k):
-            counts.emit[:, j] += np.bincount(grid[use], weights=gamma[:, :, j][use], minlength=len(self.emit))
-        return float(np.log(scale[use]).sum())
+            counts.emit[:, j] += np.bincount(seen, weights=alpha[:, :, j].ravel(), minlength=len(self.emit))
+        return float(np.log(scale).sum())
 
     def zeros(self) -> "Hmm":
         return Hmm(np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit))

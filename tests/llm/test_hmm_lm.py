@@ -104,3 +104,17 @@ def test_training_raises_the_likelihood(spark):
         model, ll = hmm_lm.iterate(rows, model, uni)
         seen.append(ll)
     assert seen == sorted(seen)
+
+
+def test_expected_counts_of_uneven_sequences_against_one_at_a_time():
+    """In lockstep, sequences that ended add nothing."""
+    rnd = np.random.default_rng(5)
+    model = hmm_lm.initial(rnd.random(hmm_lm.END + 1) * 50)
+    seqs = [rnd.integers(0, hmm_lm.END + 1, n).astype(np.int16) for n in (1, 7, 3, 40, 40, 2)]
+    together, apart = model.zeros(), model.zeros()
+    total = model.expected(seqs, together)
+    one = [model.expected([s], apart) for s in seqs]
+    assert np.isclose(total, sum(one)) and np.allclose(model.forward(seqs), one)
+    for x, y in ((together.start, apart.start), (together.move, apart.move), (together.emit, apart.emit)):
+        assert np.allclose(x, y)
+    assert np.isclose(together.emit.sum(), sum(map(len, seqs)))
