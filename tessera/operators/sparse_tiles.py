@@ -43,6 +43,8 @@ BLOCK_PAIRS = 1 << 26
 ROW_CELLS = 1 << 16
 #: Pairs that a kernel expands at once, and cells of a dense accumulator.
 _STEP, _DENSE = 1 << 20, 1 << 21
+#: A null row or column inside tiles.
+_NULL = -(1 << 63)
 
 
 def pair_counts(a: DataFrame, b: DataFrame) -> tuple[int, int, int, int]:
@@ -188,7 +190,8 @@ def matmul_sparse_tiles(a: DataFrame, b: DataFrame, grid: tuple[int, int] | None
     """C = A * B on integer or floating CELLS by sparse tiles; zero cells are dropped.
 
     Integer sums must stay below 2**63, as BIGINT cells in any strategy. Decimals aren't tiled:
-    use ``matmul_join``. Repeated cells of one coordinate add up, as in the join.
+    use ``matmul_join``. Repeated cells of one coordinate add up, and null rows of A and null columns
+    of B are rows and columns of C, as in the join.
     """
     kinds = {dict(x.dtypes)["v"] for x in (a, b)}
     if any(k.startswith("decimal") for k in kinds):
@@ -197,6 +200,8 @@ def matmul_sparse_tiles(a: DataFrame, b: DataFrame, grid: tuple[int, int] | None
     dtype, out = (np.float64, "double") if floating else (np.int64, "bigint")
     a, b = (x.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast(out).alias("v")) for x in (a, b))
 
+    a, b = (x.where(f"{k} IS NOT NULL").withColumn(n, F.coalesce(n, F.lit(_NULL))) for x, k, n in ((a, "j", "i"), (b, "i", "j")))
+
     def product(x: tuple, y: tuple) -> pa.Table:
         kind = pa.float64() if floating else pa.int64()
         parts = list(row_products(x, y)) if len(x[0]) and len(y[0]) else []
@@ -218,11 +223,10 @@ def matmul_sparse_tiles(a: DataFrame, b: DataFrame, grid: tuple[int, int] | None
             return product(_unpack(x, dtype), _unpack(y, dtype))
     else:
         parts, chunks = plan_blocks(counts, tasks, pairs_per_task)
-        full = lambda x: x.where("v <> 0 AND i IS NOT NULL AND j IS NOT NULL")
-        rows = packed_left(full(a).select(F.col("i").alias("r"), F.col("j").alias("k"), F.col("v").alias("lv")), [])
+        rows = packed_left(a.where("v <> 0").select(F.col("i").alias("r"), F.col("j").alias("k"), F.col("v").alias("lv")), [])
         kc = F.pmod(F.col("k"), F.lit(chunks)).cast("int").alias("kc")
         left = rows.select("rb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cs"), kc, "k", "le")
-        right = (rows.select("rb", "k").join(packed_right(full(b).select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("rv")), [], parts), "k")
+        right = (rows.select("rb", "k").join(packed_right(b.where("v <> 0").select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("rv")), [], parts), "k")
                      .select(F.col("rb").alias("rb"), "cs", kc, F.col("k").alias("k"), "re"))
         keys = ["rb", "cs", "kc"]
 
@@ -232,4 +236,4 @@ def matmul_sparse_tiles(a: DataFrame, b: DataFrame, grid: tuple[int, int] | None
     cells = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, f"i bigint, j bigint, v {out}")
     if chunks > 1:
         cells = cells.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return cells.where("v <> 0")
+    return cells.where("v <> 0").select(*(F.nullif(F.col(n), F.lit(_NULL)).alias(n) for n in ("i", "j")), "v")
