@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import from_dense, to_dense
 from tessera.operators import blocks
 from tessera.operators.blocks import COPY_BYTES, PACK_BYTES, block_product, grid_for, matmul_block, matmul_blocks, pair_product, pairs_for
+from tessera.operators.dispatch import matmul_abt
 from tessera.operators.layout import blocks_to_cells, cells_to_blocks, rows_to_blocks, transpose_blocks
 
 
@@ -61,6 +62,14 @@ def test_matmul_block_takes_pairs_when_copies_are_many(spark, monkeypatch):
     assert (to_dense(c, (23, 23)) == x @ x.T).all()
 
 
+def test_abt_takes_pairs_when_copies_are_many(spark, monkeypatch):
+    x, y = ints((70, 6), 5), ints((90, 6), 6)
+    monkeypatch.setattr(blocks, "COPY_BYTES", 0)
+    c = matmul_abt(from_dense(spark, x), from_dense(spark, y), strategy="block")
+    assert "CartesianProduct" in c._jdf.queryExecution().executedPlan().toString()
+    assert dict(c.dtypes)["v"] == "bigint" and (to_dense(c, (70, 90)) == x @ y.T).all()
+
+
 @pytest.mark.parametrize("n", [20_000, 100_000, 1_000_000, 10_000_000])
 @pytest.mark.parametrize("b", [64, 512])
 def test_groups_keep_to_their_budget(n, b):
