@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from conftest import from_dense, to_dense
 from tessera.operators import blocks
-from tessera.operators.blocks import COPY_BYTES, PACK_BYTES, block_product, grid_for, matmul_block, matmul_blocks, pair_product, pairs_for
+from tessera.operators.blocks import (
+    COPY_BYTES, PACK_BYTES, block_product, grid_for, matmul_block, matmul_blocks, pair_product, pair_product_cells, pairs_for,
+)
 from tessera.operators.dispatch import matmul_abt
 from tessera.operators.layout import blocks_to_cells, cells_to_blocks, rows_to_blocks, transpose_blocks
+from tessera.operators.products import matmul_join
 
 
 def ints(shape, seed, high=50):
@@ -70,6 +73,46 @@ def test_abt_takes_pairs_when_copies_are_many(spark, monkeypatch):
     assert dict(c.dtypes)["v"] == "bigint" and (to_dense(c, (70, 90)) == x @ y.T).all()
 
 
+def test_abt_shuffles_packed_cells_once(spark, monkeypatch):
+    """One exchange a side, not one for tiles and one for groups; of A * A^T, B reads what A has written."""
+    x = ints((70, 6), 7)
+    monkeypatch.setattr(blocks, "COPY_BYTES", 0)
+    a = spark.range(420).select(F.expr("id div 6").alias("i"), (F.col("id") % 6).alias("j"), F.get(F.lit(x.ravel()), F.col("id").cast("int")).alias("v"))
+    c = matmul_abt(a, a, strategy="block")
+    assert c._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    got = np.zeros((70, 70), dtype=np.int64)
+    for r in c.collect():
+        got[r.i, r.j] = r.v
+    assert (got == x @ x.T).all()
+    final = c._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("value", ["double", "bigint"])
+@pytest.mark.parametrize("groups", [(1, 1), (2, 3), (9, 9)])
+def test_packed_cells_give_the_join(spark, value, groups):
+    """Cells in any order, twice or without index or value; sides that see different inner sizes."""
+    high = 1 << 30 if value == "bigint" else 50
+    x, y = ints((11, 7), 8, high), ints((7, 14), 9, high)
+    x[3:6], y[:, 9:12], y[5:] = 0, 0, 0
+    more = spark.createDataFrame([(None, 0, 5), (0, None, 5), (0, 0, None), (2, 1, 4), (2, 1, 4), (10, 4, -3)], "i BIGINT, j BIGINT, v BIGINT")
+    a = from_dense(spark, x).unionByName(more).repartition(5, "v")
+    b = from_dense(spark, y).unionByName(more.where("i is null or i < 7"))
+    tiles = pair_product_cells(a, b, 3, (11, 7), (5, 14), groups, value)
+    assert tiles.groupBy("bi", "bj").count().where("count > 1").isEmpty()
+    key = lambda df: sorted(tuple(r) for r in df.where("i is not null and j is not null and v <> 0").select("i", "j", "v").collect())
+    assert key(blocks_to_cells(tiles, 3, cast="bigint")) == key(matmul_join(a, b))
+
+
+def test_packed_cells_of_doubles(spark):
+    r = np.random.default_rng(10)
+    x, y = r.random((10, 8)) * 1e3, r.random((8, 12)) * 1e-3
+    a, b = from_dense(spark, x, "double"), from_dense(spark, y, "double")
+    key = lambda df: sorted((t.bi, t.bj, t.nr, t.nc, tuple(t.blk)) for t in df.collect())
+    cells = key(pair_product_cells(a.repartition(4, "v"), b, 4, (10, 8), (8, 12), (2, 2)))
+    assert cells == key(pair_product(cells_to_blocks(a, 4, (10, 8)), cells_to_blocks(b, 4, (8, 12)), (2, 2)))
+
+
 @pytest.mark.parametrize("n", [20_000, 100_000, 1_000_000, 10_000_000])
 @pytest.mark.parametrize("b", [64, 512])
 def test_groups_keep_to_their_budget(n, b):
