@@ -11,8 +11,9 @@ corners and neighbouring heavy rows evenly. A's tile (i mod g, k mod chunks) is
 column groups, B's tile to the g row groups. One task holds one tile of each.
 
 That is the layout of small products, and where a grid is given (``plan_grid`` takes one from exact
-counts). Its copies grow with the grid, so from ``BLOCK_PAIRS`` pairs on tiles are dealt by blocks of
-A's rows instead (see ``row_blocks``): a block's tile of A meets the rows of B that it names, each sent once. ``plan_blocks``
+counts). Its copies grow with the grid, so from ``BLOCK_PAIRS`` pairs on groups of rows and of columns are
+packed and multiplied in pairs (see ``cell_pairs``). Where a row is too long for that, tiles are dealt by blocks of
+A's rows (see ``row_blocks``): a block's tile of A meets the rows of B that it names, each sent once. ``plan_blocks``
 takes the parts of the columns, and chunks of the inner side, from exact counts per block: no task
 multiplies many more than ``pairs_per_task`` pairs or holds many more than ``TILE_CELLS`` cells of A.
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.blocks import default_tasks
+from tessera.operators.cell_pairs import groups_for, pair_cells
 from tessera.operators.row_blocks import packed_left, packed_right, row_block
 
 PAIRS_PER_TASK = 1 << 22
@@ -89,8 +91,10 @@ class BlockCounts:
 
 def block_counts(a: DataFrame, b: DataFrame) -> BlockCounts:
     """Exact counts by blocks of A's rows: one aggregate row."""
-    na = a.groupBy(row_block("i").alias("rb"), F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("na"), F.max("i").alias("last"))
-    nb = b.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("nb"), F.max("j").alias("width"))
+    # shuffled by the inner index alone, which is what both groupings and the join need; in B = A^T Spark reuses A's shuffle
+    x, y = (m.select(F.col(o).cast("bigint").alias("o"), F.col(k).cast("bigint").alias("k")).repartition("k") for m, o, k in ((a, "i", "j"), (b, "j", "i")))
+    na = x.groupBy(row_block("o").alias("rb"), "k").agg(F.count(F.lit(1)).alias("na"), F.max("o").alias("last"))
+    nb = y.groupBy("k").agg(F.count(F.lit(1)).alias("nb"), F.max("o").alias("width"))
     per = na.join(nb, "k", "right").groupBy("rb").agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"), F.sum("na").alias("cells"), F.max("nb").alias("longest"), F.sum("nb").alias("sent"),
                                                       F.max("last").alias("last"), F.max("width").alias("width"))
     r = per.agg(F.sum("pairs"), F.count("rb"), F.max("pairs"), F.max("cells"), F.max("longest"), F.max("last") + 1, F.max("width") + 1, F.sum("cells"), F.sum("sent")).first()
@@ -200,6 +204,7 @@ def matmul_sparse_tiles(a: DataFrame, b: DataFrame, grid: tuple[int, int] | None
     dtype, out = (np.float64, "double") if floating else (np.int64, "bigint")
     a, b = (x.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("v").cast(out).alias("v")) for x in (a, b))
 
+    a0, b0 = a, b
     a, b = (x.where(f"{k} IS NOT NULL").withColumn(n, F.coalesce(n, F.lit(_NULL))) for x, k, n in ((a, "j", "i"), (b, "i", "j")))
 
     def product(x: tuple, y: tuple) -> pa.Table:
@@ -212,6 +217,8 @@ def matmul_sparse_tiles(a: DataFrame, b: DataFrame, grid: tuple[int, int] | None
         counts, tasks = counts or block_counts(a, b), default_tasks(a.sparkSession)
         if counts.pairs < block_pairs:  # an index's pairs are at most all
             grid = plan_grid(counts.left, counts.sent, counts.pairs, counts.pairs, tasks, pairs_per_task)
+        elif groups := groups_for(a0, b0, tasks):
+            return pair_cells(a0, b0, groups)
     if grid:
         g, chunks = grid
         every = F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
