@@ -29,11 +29,12 @@ def _reduced(total: Column) -> Column:
 def check_product(a: DataFrame, b: DataFrame, c: DataFrame, rounds: int = 3, seed: int = 0) -> DataFrame:
     """round, n_rows (rows of A * B or C that hold a cell), n_wrong (rows where the two differ)."""
     a, b, c = (m.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), _reduced(F.col("v").cast("bigint")).alias("v")) for m in (a, b, c))
-    each = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
-    # terms are below the prime, so 2^32 of them add up in 64 bits
-    times = lambda m: m.select("i", "j", "v", each).select("i", "round", _reduced(F.col("v") * _vector("j", F.col("round"), seed)).alias("t"))
-    bx = times(b).groupBy("i", "round").agg(_reduced(F.sum("t")).alias("y")).withColumnRenamed("i", "j")
-    abx = a.join(bx, "j").select("i", "round", _reduced(F.col("v") * F.col("y")).alias("t"))
-    cx = times(c).select("i", "round", (F.lit(PRIME) - F.col("t")).alias("t"))
-    rows = abx.unionByName(cx).groupBy("i", "round").agg((_reduced(F.sum("t")) != 0).alias("wrong"))
+    # Rounds are columns, and A and B are shuffled as cells: a row a round and cell, or sums of few cells, would be several times as much.
+    # Terms are below the prime, so 2^32 of them add up in 64 bits.
+    times = [_reduced(F.col("v") * _vector("j", F.lit(r), seed)) for r in range(rounds)]
+    bx = b.repartition("i").groupBy("i").agg(*(_reduced(F.sum(t)).alias(f"y{r}") for r, t in enumerate(times))).withColumnRenamed("i", "j")
+    abx = a.repartition("j").join(bx, "j").select("i", *(_reduced(F.col("v") * F.col(f"y{r}")).alias(f"t{r}") for r in range(rounds)))
+    cx = c.select("i", *((F.lit(PRIME) - t).alias(f"t{r}") for r, t in enumerate(times)))
+    wrong = F.array(*(F.struct(F.lit(r).alias("round"), (_reduced(F.sum(f"t{r}")) != 0).alias("wrong")) for r in range(rounds)))
+    rows = abx.unionByName(cx).groupBy("i").agg(wrong.alias("x")).select(F.explode("x").alias("x")).select("x.round", "x.wrong")
     return rows.groupBy("round").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("wrong"), 1)).alias("n_wrong"))
